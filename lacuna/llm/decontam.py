@@ -61,7 +61,7 @@ def _line(words: str, at: Column, n: int | Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(_k1, _k2, hits, items) of the documents with hits: hits holds structs (at, n), items the sorted ids of items with occurring windows."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("words"))
-    whole = fingerprinted(items.where(F.size("words") >= WINDOW)).select("item", "words", F.posexplode("prints").alias("at", "print"))
+    whole = fingerprinted(items).select("item", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
     whole = whole.select("print", F.lit(WINDOW).alias("n"), _line("words", F.col("at"), WINDOW).alias("line"), "item")
     short = items.where((F.size("words") > 0) & (F.size("words") < WINDOW)).select(F.lit(None).cast("long").alias("print"), F.size("words").alias("n"), F.array_join("words", " ").alias("line"), "item")
     known = whole.unionByName(short).groupBy("print", "n", "line").agg(F.collect_set("item").alias("items"))
@@ -73,7 +73,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     rows = docs.select(*row_key(id_col, text_col), words_of(F.col(text_col)).alias("words"))
     full = fingerprinted(rows)
-    runs = full.select("_k1", "_k2", "words", "prints", F.posexplode("prints").alias("at", "print")).where("at = 0 or print <> prints[at - 1]")
+    # outer: else Spark infers a filter on the array's size, moves it below and computes all steps once more for each use
+    runs = full.select("_k1", "_k2", "words", "prints", F.posexplode_outer("prints").alias("at", "print")).where("print is not null and (at = 0 or print <> prints[at - 1])")
     if small:
         found = runs.join(hold(prints), "print")
     else:
