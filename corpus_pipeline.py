@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import automaton, decontam, langid, packing, simhash
-from lacuna.llm.common import drop_table, row_key, shared_dir
+from lacuna.llm.common import drop_table, fresh, row_key, shared_dir
 from lacuna.llm.queries import tokenizer_path
 
 
@@ -23,11 +23,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows whose id is their component's; of repeated rows of that id, one of each digest."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
-    columns = docs.columns
-    return kept.select(*columns, *row_key("doc_id", "text")).dropDuplicates(["_k1"]).select(*columns)
+    """The rows whose id is their component's, one of each id. Rows without an id stay only if no row of their group has one."""
+    own, key = fresh(docs, "_id", "_key")
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(found[own]), "left_semi")
+    columns = [f"`{c}`" for c in docs.columns]
+    return kept.select(*columns, row_key("doc_id", "text")[0].alias(key)).dropDuplicates([key]).select(*columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,7 +48,18 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """(_k1, _k2): the id, missing ids last, and a digest of the text. Rows that agree in both are one document repeated."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_k1"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_k2")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_k1"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_k2")]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def text_bytes(df: DataFrame, col: str) -> int:

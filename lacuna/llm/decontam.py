@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import ascii_lower, cut, row_key
+from lacuna.llm.common import ascii_lower, cut, fresh, row_key
 
 WINDOW, GRAIN = 10, 4
 #: Java's form of what separates words, before and after A-Z are lower-cased.
@@ -104,5 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without hits, with the same columns."""
-    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text).select("_k1", "_k2")
-    return docs.select("*", *row_key(id_col, text_col)).join(found, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    k1, k2 = fresh(docs, "_k1", "_k2")
+    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("_k1").alias(k1), F.col("_k2").alias(k2))
+    own1, own2 = row_key(id_col, text_col)
+    return docs.select("*", own1.alias(k1), own2.alias(k2)).join(found, [k1, k2], "left_anti").drop(k1, k2).select(*(f"`{c}`" for c in docs.columns))

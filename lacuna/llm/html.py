@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TEXTS = "page_id long, url string, text string, n_chars long"
-TOKENS = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
+TOKENS = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+#: Tags with quotes that do not match.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>()|<[^>]*>")
 ATTRIBUTES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 RAW = frozenset(["script", "style", "textarea", "noscript", "template", "iframe", "title", "noembed", "noframes", "xmp"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"])
@@ -79,12 +81,12 @@ class Page:
             top()
 
         while at < n:
-            m = TOKENS.match(source, at)
+            m = TOKENS.match(source, at) or LOOSE.match(source, at)
             if not m:  # an unfinished tag at the end
                 break
             at = m.end()
             text = m[4]
-            if text is not None:
+            if text:
                 text = entities.unescape(text)
                 parts.append(text)
                 count = len(text.split())

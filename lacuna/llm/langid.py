@@ -1,6 +1,6 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-A text is the sequence of its lower-cased words, each between boundary marks, so a word's probability does not
+A text is the sequence of its lower-cased words (runs of letters), each between boundary marks, so a word's probability does not
 depend on its neighbours and is computed once per worker. For each language an n-gram model with absolute discounts
 is trained: the highest order on counts, the lower ones on how many different characters precede. All
 languages share one array of n-gram hashes per order, sorted, with their log probabilities and back-off weights
@@ -16,6 +16,7 @@ nothing can be learned from, every text is `und`; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,8 +41,12 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Runs of letters, lower-cased: digits and marks say nothing of the language."""
+    return _LETTERS.findall(text.lower())
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +224,8 @@ class Scorer:
         if not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, None, True
         ce, n = self(text, learned)
+        if not n:  # letters that no run holds, as lower-casing can leave
+            return self.models.languages[0], 0.0, None, True
         k = int(np.argmin(ce))
         score = 1 / np.exp(np.minimum((ce[k] - ce) * min(n, SCORE_CHARS), 0)).sum()
         mean, between, each = self.models.typical[k]
