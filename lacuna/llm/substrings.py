@@ -18,6 +18,8 @@ equal ids and other text, the text's digest orders them; empty tables give no ro
 from __future__ import annotations
 
 import hashlib
+import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import chunks, mix64, partitions_for, row_key, shared_dir, text_bytes
 
 #: Bytes of text that a task settles at a time, and that a bucket gets on average.
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
+#: Of the compression of what is sent.
+LEVEL = 3
 #: Most partitions; beyond, a partition takes several buckets, sorted, one after the other.
 MOST_PARTITIONS = 50_000
 _P = np.uint64(0x9E3779B97F4A7C55)
@@ -41,22 +45,18 @@ KEPT_TEXT = KEPT + ", kept_text string"
 
 
 class Words:
-    """The words of some texts as numbers, with what the windows need."""
-
-    def __init__(self, lists: list[list[bytes]], width: int):
-        ids: dict[bytes, int] = {}
-        number = [np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int32, count=len(words)) for words in lists]
-        self.spelled = list(ids)
-        self.ids = np.concatenate(number) if number else np.zeros(0, np.int32)
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    """Lists of words, one after the other, as numbers, with what the windows need."""
+
+    def __init__(self, words: list[bytes], sizes: np.ndarray, width: int):
+        ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.ids = np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words))
+        each = np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids))
+        self.hashed = each[self.ids] if len(words) else np.zeros(0, np.uint64)
+        begin = (np.cumsum(sizes) - sizes).astype(np.int32)
         n = np.maximum(sizes - width + 1, 0)
-        self.owner = np.repeat(np.arange(len(lists)), n)
-        first = np.concatenate([[0], np.cumsum(n)])[:-1]
-        self.start = np.arange(int(n.sum())) - np.repeat(first, n)  # in its list
-        self.at = self.start + np.repeat(self.begin, n)  # in ids
-        each = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.spelled), dtype=np.uint64, count=len(self.spelled))
-        self.hashed = each[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), n)
+        self.start = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)  # in its list
+        self.at = self.start + np.repeat(begin, n)  # among all words
 
     def rolled(self, k: int) -> np.ndarray:
         """The hash of the k words from each place on (of fewer at the end)."""
@@ -91,14 +91,12 @@ def repeated(words: Words, order: tuple[np.ndarray, ...], width: int) -> np.ndar
     if n < 2:
         return out
     hashed = words.rolled(width)[words.at]
-    by = np.argsort(hashed, kind="stable")
-    lone = np.ones(n, dtype=bool)
-    alike = hashed[by[1:]] == hashed[by[:-1]]
-    lone[1:] &= ~alike
-    lone[:-1] &= ~alike
-    rows = by[~lone]  # few, in ordinary text
-    if not len(rows):
+    ordered = np.sort(hashed)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(twice):
         return out
+    rows = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, hashed), len(twice) - 1)] == hashed)  # few, in ordinary text
     rows = rows[np.lexsort((*(k[rows] for k in order), hashed[rows]))]
     near = hashed[rows[1:]] == hashed[rows[:-1]]
     if not _same(words, words.at[rows[1:]][near], words.at[rows[:-1]][near], width).all():  # unequal windows with one hash: sort by the words
@@ -127,24 +125,32 @@ def _intervals(k1, k2, start) -> tuple[np.ndarray, ...]:
     return k1[begin], k2[begin], start[begin].astype(np.int32), np.diff(np.append(begin, len(start))).astype(np.int32)
 
 
-def _pack(*arrays: np.ndarray, strings: list[bytes] = ()) -> bytes:
-    meta = pa.table([pa.array(a) for a in arrays], names=[str(i) for i in range(len(arrays))])
-    if strings:
-        meta = meta.append_column("s", pa.array(strings, pa.binary()))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, meta.schema) as writer:
-        writer.write_table(meta)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+def _pack(*arrays: np.ndarray, words: bytes = b"") -> bytes:
+    """Arrays and a text in one compressed block, each array with its length and type before it."""
+    parts = [struct.pack("<I", len(arrays))]
+    for a in arrays:
+        parts += [struct.pack("<cBI", a.dtype.kind.encode(), a.dtype.itemsize, len(a)), a.tobytes()]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*parts, words]))
 
 
-def _unpack(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+def _unpack(payload: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    (n,), at, arrays = struct.unpack_from("<I", raw), 4, []
+    for _ in range(n):
+        kind, size, length = struct.unpack_from("<cBI", raw, at)
+        at += 6
+        arrays.append(np.frombuffer(raw, dtype=f"<{kind.decode()}{size}", count=length, offset=at))
+        at += size * length
+    return arrays, raw[at:]
 
 
 def _settled(rows: list, width: int, grain: int, buckets: int):
     """(bucket, kind, payload) of some rows (k1, k2, text): kind 0 holds super-k-mers, kind 1 intervals that repeat within these rows."""
     lists = [(r[2] or "").encode("utf-8", "replace").split() for r in rows]
-    words = Words(lists, width)
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    own = list(chain.from_iterable(lists))
+    del lists
+    words = Words(own, sizes, width)
     if not len(words.at):
         return
     k1, k2 = (np.array([r[i] for r in rows], dtype=np.int64)[words.owner] for i in (0, 1))
@@ -161,18 +167,19 @@ def _settled(rows: list, width: int, grain: int, buckets: int):
     n = np.diff(np.append(begin, len(at)))
     bucket = (mix64(least[begin]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    own = [words.spelled[i] for i in words.ids]
     for group in np.split(order, _runs(bucket[order])[1:]):
-        b = begin[group]
-        spans = [b" ".join(own[at[x] : at[x] + m + width - 1]) for x, m in zip(b, n[group])]
-        yield int(bucket[group[0]]), 0, _pack(k1[stay[b]], k2[stay[b]], start[stay[b]].astype(np.int32), strings=spans)
+        b, m = begin[group], n[group] + width - 1
+        spans = b"\n".join([b" ".join(own[i:j]) for i, j in zip(at[b].tolist(), (at[b] + m).tolist())])
+        yield int(bucket[group[0]]), 0, _pack(k1[stay[b]], k2[stay[b]].astype(np.uint32), start[stay[b]].astype(np.int32), m.astype(np.uint32), words=spans)
 
 
 def _judged(payloads: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Intervals of the windows of a bucket that have an earlier equal one."""
-    table = pa.concat_tables([_unpack(p) for p in payloads])
-    words = Words([s.split() for s in table.column("s").to_pylist()], width)
-    k1, k2, base = (table.column(c).to_numpy()[words.owner] for c in ("0", "1", "2"))
+    arrays, own = zip(*map(_unpack, payloads))
+    k1, k2, base, m = (np.concatenate(x) for x in zip(*arrays))
+    words = Words(list(chain.from_iterable(map(bytes.split, own))), m.astype(np.int64), width)
+    del own
+    k1, k2, base = k1[words.owner], k2[words.owner].astype(np.int64), base[words.owner]
     start = base + words.start
     gone = np.flatnonzero(repeated(words, (start, k2, k1), width))
     gone = gone[np.lexsort((start[gone], k2[gone], k1[gone]))]
@@ -199,7 +206,7 @@ def repeats(docs: DataFrame, width: int = 20, grain: int = 4, id_col: str = "doc
         for b in batches:
             for bucket, kind, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if kind == 1:
-                    yield _batch([x.to_numpy() for x in _unpack(payload).columns])
+                    yield _batch(_unpack(payload)[0])
                     continue
                 if bucket != of and held:
                     yield _batch(_judged(held, width))
