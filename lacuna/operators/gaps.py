@@ -73,7 +73,7 @@ def case_gap_metrics(p: Panel, r: DataFrame, size: float = I.BIN_SECONDS, tolera
     stats = g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_gaps"), F.when(n >= 2, ratio(F.stddev_samp(x), F.avg(x))).alias("gap_cv"), F.when(n >= 4, ratio(q3 - q1, q3 + q1)).alias("gap_qcod"), burstiness(x, 3).alias("gap_burstiness_coeff"), F.max(x).alias("_longest"),
     )
-    shape = I.entropy_adherence(g, keys, size, tolerance, 2, "time_length", ("gap_normalized_entropy", "gap_adherence_rate")).select(*keys, "gap_normalized_entropy", "gap_adherence_rate")
+    shape = I.entropy_adherence(g, keys, size, tolerance, 1, "time_length", ("gap_normalized_entropy", "gap_adherence_rate")).select(*keys, "gap_normalized_entropy", "gap_adherence_rate")
     w = W.partitionBy(*keys).orderBy("run_start_clock")
     between = p.seconds(F.lag("run_start_clock").over(w), F.col("run_start_clock"))
     onset = g.select(*keys, between.alias("_o")).where("_o > 0").groupBy(*keys).agg(F.when(F.count("_o") >= least_onset - 1, ratio(F.stddev_samp("_o"), F.avg("_o"))).alias("gap_onset_cv"))

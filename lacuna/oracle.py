@@ -105,15 +105,15 @@ _DOMINANT = ", ".join([
     r("adherence_rate", "adherence_rate"), r("entropy", "entropy"), r("CASE WHEN n_bins <= 1 THEN 0 ELSE entropy / log2(n_bins) END", "normalized_entropy"), "CAST(60 AS DOUBLE) AS bin_resolution_seconds"])
 
 
-def _entropy(source: str, x: str, keys: str, tag: str) -> str:
+def _entropy(source: str, x: str, keys: str, tag: str, least: int = 2) -> str:
     """{tag}: keys, n, dominant, entropy, adherence."""
     k = ", ".join(f"a.{c}" for c in keys.split(", "))
     return f"""{tag}_bins AS (SELECT {keys}, CAST(round_even({x} / 60.0, 0) AS BIGINT) AS bin, count(*) AS c FROM {source} WHERE {x} IS NOT NULL GROUP BY ALL),
 {tag}_tot AS (SELECT *, sum(c) OVER (PARTITION BY {keys}) AS n FROM {tag}_bins),
 {tag}_shape AS (SELECT {keys}, arg_max(bin, c * 1000000000 + bin) AS mode, CAST(max(n) AS BIGINT) AS n, count(*) AS n_bins, list_sum(list_sort(list(-(c / n) * log2(c / n)))) AS h FROM {tag}_tot GROUP BY {keys}),
-{tag} AS (SELECT {k}, any_value(n) AS n_intervals, CASE WHEN any_value(n) >= 2 THEN any_value(mode * 60.0) END AS dominant_interval_seconds,
-  CASE WHEN any_value(n) >= 2 THEN CASE WHEN any_value(n_bins) <= 1 THEN 0 ELSE any_value(h) / nullif(log2(any_value(n_bins)), 0) END END AS entropy,
-  CASE WHEN any_value(n) >= 2 THEN avg(CAST({x} BETWEEN mode * 60.0 * 0.5 AND mode * 60.0 * 1.5 AS DOUBLE)) END AS adherence
+{tag} AS (SELECT {k}, any_value(n) AS n_intervals, CASE WHEN any_value(n) >= {least} THEN any_value(mode * 60.0) END AS dominant_interval_seconds,
+  CASE WHEN any_value(n) >= {least} THEN CASE WHEN any_value(n_bins) <= 1 THEN 0 ELSE any_value(h) / nullif(log2(any_value(n_bins)), 0) END END AS entropy,
+  CASE WHEN any_value(n) >= {least} THEN avg(CAST({x} BETWEEN mode * 60.0 * 0.5 AND mode * 60.0 * 1.5 AS DOUBLE)) END AS adherence
   FROM {source} a JOIN {tag}_shape USING ({keys}) WHERE {x} IS NOT NULL GROUP BY {k})"""
 
 
@@ -130,7 +130,7 @@ case_inter AS (SELECT id, avg((hr_mask + bp_mask + k3_mask) * 100 / 3.0) AS avg_
   FROM p LEFT JOIN pe USING (id) GROUP BY id)"""
 
 _SHARE = "share AS (SELECT id, variable, sum(mask) * 100 / count(*) AS indicated_pct FROM long GROUP BY ALL)"
-_GAPS = _entropy("g", "time_length", "id, variable", "ge")
+_GAPS = _entropy("g", "time_length", "id, variable", "ge", 1)
 _GAP_CASE = f"""g AS (SELECT * FROM runs WHERE count_clock_no > 0), {_GAPS},
 gst AS (SELECT id, variable, count(*) AS n_gaps, CASE WHEN count(time_length) >= 2 THEN {div('stddev_samp(time_length)', 'avg(time_length)')} END AS gap_cv,
   CASE WHEN count(time_length) >= 4 THEN {div('quantile_cont(CAST(time_length AS DOUBLE), 0.75) - quantile_cont(CAST(time_length AS DOUBLE), 0.25)', 'quantile_cont(CAST(time_length AS DOUBLE), 0.75) + quantile_cont(CAST(time_length AS DOUBLE), 0.25)')} END AS gap_qcod,

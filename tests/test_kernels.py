@@ -87,31 +87,31 @@ def test_bootstrap_does_not_depend_on_order():
 def mixed(spark):
     rng = random.Random(3)
     data = [(k, g, float(rng.choice([rng.randint(-3, 3), rng.gauss(0, 5)]))) for k in "pq" for g in range(3) for _ in range(rng.randint(40, 90))]
-    return data, spark.createDataFrame(data, "k string, g long, v double").repartition(5).persist()
+    return data, spark.createDataFrame(data, "facet string, g long, v double").repartition(5).persist()
 
 
 def test_distributed_forms_equal_kernels(mixed):
     data, df = mixed
-    two = df.where("g < 2").selectExpr("k", "v", "g = 0 as first")
-    for r in C.mann_whitney(two, ["k"], "v", "first").collect():
-        x, y = ([v for k, g, v in data if k == r["k"] and g == w] for w in (0, 1))
+    two = df.where("g < 2").selectExpr("facet", "v", "g = 0 as first")
+    for r in C.mann_whitney(two, ["facet"], "v", "first").collect():
+        x, y = ([v for k, g, v in data if k == r["facet"] and g == w] for w in (0, 1))
         want = K.mann_whitney(x, y)
         assert r["u"] == pytest.approx(want["u"]) and r["p_value"] == pytest.approx(want["p_value"], abs=1e-9)
-    for r in C.cliffs_delta(two, ["k"], "v", "first").collect():
-        x, y = ([v for k, g, v in data if k == r["k"] and g == w] for w in (0, 1))
+    for r in C.cliffs_delta(two, ["facet"], "v", "first").collect():
+        x, y = ([v for k, g, v in data if k == r["facet"] and g == w] for w in (0, 1))
         want = K.cliffs_delta(x, y)
         assert (r["delta"], r["low"], r["high"]) == (pytest.approx(want["delta"]), pytest.approx(want["low"]), pytest.approx(want["high"]))
-    for r in C.kruskal_wallis(df, ["k"], "v", "g").collect():
-        want = K.kruskal([[v for k, g, v in data if k == r["k"] and g == w] for w in range(3)])
+    for r in C.kruskal_wallis(df, ["facet"], "v", "g").collect():
+        want = K.kruskal([[v for k, g, v in data if k == r["facet"] and g == w] for w in range(3)])
         assert r["h"] == pytest.approx(want["h"]) and r["p_value"] == pytest.approx(want["p_value"])
 
 
 def test_ranks_and_quantiles(mixed):
     data, df = mixed
-    for r in quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect():
-        own = [v for k, _, v in data if k == r["k"]]
+    for r in quantiles(df, ["facet"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect():
+        own = [v for k, _, v in data if k == r["facet"]]
         assert [r["a"], r["b"], r["c"]] == pytest.approx(np.quantile(own, [0, 0.37, 1]).tolist())
-    got = {(r["k"], r["v"]): r["rank"] for r in average_ranks(df, ["k"], "v").collect()}
+    got = {(r["facet"], r["v"]): r["rank"] for r in average_ranks(df, ["facet"], "v").collect()}
     for k in "pq":
         own = np.array([v for x, _, v in data if x == k])
         for v, rank in zip(own, K.average_rank(own)):
