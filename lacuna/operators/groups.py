@@ -125,10 +125,10 @@ def cross_aspect(long: DataFrame, confidence: float = 0.95) -> DataFrame:
 
     Axes are few: each id's values form one row, and pairs are formed within it.
     """
-    axes = axis_names(long).where("value is not null")
+    axes = axis_names(long).where("value is not null").persist()  # one row per case and axis, read by every step below
     known = [(r["axis"], r["aspect"]) for r in axes.select("axis", "aspect").distinct().orderBy("axis").collect()]  # one row per axis
     names = [a for a, _ in known]
-    wide = axes.groupBy("id").pivot("axis", names).agg(F.first("value"))
+    wide = axes.groupBy("id").pivot("axis", names).agg(F.first("value")).persist()
     each = [F.struct(F.lit(a).alias("axis_x"), F.lit(b).alias("axis_y"), F.lit(sa).alias("aspect_x"), F.lit(sb).alias("aspect_y"), F.col(f"`{a}`").alias("vx"), F.col(f"`{b}`").alias("vy")) for (a, sa), (b, sb) in combinations(known, 2)]
     keys = ["axis_x", "axis_y", "aspect_x", "aspect_y"]
     rho = spearman(wide.select(F.explode(F.array(*each)).alias("s")).select("s.*"), keys)

@@ -248,10 +248,10 @@ class Analyzer:
         df = groups.annotate(self.bare.df, self.bare.id, annotation_col, annotation_df, top_n_groups)
         cols = [c for c in self.bare.cols if c != annotation_col]
         panel = self._mask(replace(self.bare, df=df, cols=cols), (annotation_col,))
-        long = groups.tidy(self._case_metrics(panel), panel.id, panel.df.select(panel.id, annotation_col), annotation_col)
+        long = groups.tidy(self._case_metrics(panel), panel.id, panel.df.select(panel.id, annotation_col), annotation_col).persist()
         kept = long.select("group", "id").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("group")
-        long = long.join(F.broadcast(kept), "group", "left_semi")
-        compared = groups.compare_groups(long, n_bootstrap, self.alpha)
+        long = long.join(F.broadcast(kept), "group", "left_semi").persist()  # per-case rows, read by every result below
+        compared = groups.compare_groups(long, n_bootstrap, self.alpha).persist()
         self.results |= {"group_comparison_descriptives": groups.describe_groups(long), "group_comparison_results": compared, "group_comparison_posthoc": groups.posthoc(long, compared)}
         return self
 

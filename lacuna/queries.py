@@ -70,7 +70,7 @@ def _features(f: Callable[[Panel], Panel], *names: str) -> Callable[[SparkSessio
 def _long_groups(p: Panel, k: int) -> DataFrame:
     """bp and hr by case, grouped by id modulo k."""
     m = values.case_metrics(p).select("id", "variable", "value_mean", "value_iqr")
-    return groups.tidy({"preliminary": m, "irregularity": I.case_metrics(I.intervals(p), "id")}, "id", p.df.select("id", (F.col("id") % k).cast("string").alias("group")))
+    return groups.tidy({"preliminary": m, "irregularity": I.case_metrics(I.intervals(p), "id")}, "id", p.df.select("id", (F.col("id") % k).cast("string").alias("group"))).persist()
 
 
 def _first(p: Panel) -> DataFrame:
