@@ -125,7 +125,7 @@ def cross_aspect(long: DataFrame, confidence: float = 0.95) -> DataFrame:
 
     Axes are few: each id's values form one row, and pairs are formed within it.
     """
-    axes = axis_names(long).where("value is not null").persist()  # one row per case and axis, read by every step below
+    axes = axis_names(long).where("value is not null").persist()  # one row per case and axis
     known = [(r["axis"], r["aspect"]) for r in axes.select("axis", "aspect").distinct().orderBy("axis").collect()]  # one row per axis
     names = [a for a, _ in known]
     wide = axes.groupBy("id").pivot("axis", names).agg(F.first("value")).persist()

@@ -15,6 +15,7 @@ from lacuna.operators import intervals as I
 from lacuna.operators.features import FeatureGenerator
 from lacuna.operators.panel import Panel
 from lacuna.sources.io import write_csv
+from lacuna.sources.store import stored
 
 
 class Aspect:
@@ -238,20 +239,23 @@ class Analyzer:
         return self
 
     def _case_metrics(self, panel: Panel) -> dict[str, DataFrame]:
-        return {
+        """One row per case, or case and variable; stored, as several results start from them."""
+        frames = {
             "preliminary": values.case_metrics(panel), "irregularity": I.case_metrics(I.intervals(panel), panel.id),
             "intravariable": gaps.case_metrics(panel, gaps.runs(panel)), "intervariable": rows.case_metrics(panel),
         }
+        return {name: stored(df, f"case-{name}") for name, df in frames.items()}
 
     def run_grouped_analysis(self, annotation_col: str, annotation_df: DataFrame | None = None, top_n_groups: int | None = None, n_bootstrap: int = 1000) -> "Analyzer":
         """Per-case metrics of every aspect compared between groups; masks with statistical bounds are taken within each group."""
         df = groups.annotate(self.bare.df, self.bare.id, annotation_col, annotation_df, top_n_groups)
         cols = [c for c in self.bare.cols if c != annotation_col]
         panel = self._mask(replace(self.bare, df=df, cols=cols), (annotation_col,))
-        long = groups.tidy(self._case_metrics(panel), panel.id, panel.df.select(panel.id, annotation_col), annotation_col).persist()
+        long = groups.tidy(self._case_metrics(panel), panel.id, stored(panel.df.select(panel.id, annotation_col).distinct(), "labels"), annotation_col)
         kept = long.select("group", "id").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("group")
-        long = long.join(F.broadcast(kept), "group", "left_semi").persist()  # per-case rows, read by every result below
-        compared = groups.compare_groups(long, n_bootstrap, self.alpha).persist()
+        long = long.join(F.broadcast(kept), "group", "left_semi")
+        long = stored(long, "groups")
+        compared = stored(groups.compare_groups(long, n_bootstrap, self.alpha), "compared")
         self.results |= {"group_comparison_descriptives": groups.describe_groups(long), "group_comparison_results": compared, "group_comparison_posthoc": groups.posthoc(long, compared)}
         return self
 

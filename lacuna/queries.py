@@ -17,6 +17,7 @@ from lacuna.operators import comparisons as C
 from lacuna.operators import features, gaps, groups, masks, neighbours, rows, strata, timeline, values
 from lacuna.operators import intervals as I
 from lacuna.operators.panel import Panel
+from lacuna.sources.store import stored
 
 COLS = ["hr", "bp", "k3"]
 RANGES = {"hr": (10.0, 90.0), "bp": (None, 95.0)}
@@ -70,7 +71,7 @@ def _features(f: Callable[[Panel], Panel], *names: str) -> Callable[[SparkSessio
 def _long_groups(p: Panel, k: int) -> DataFrame:
     """bp and hr by case, grouped by id modulo k."""
     m = values.case_metrics(p).select("id", "variable", "value_mean", "value_iqr")
-    return groups.tidy({"preliminary": m, "irregularity": I.case_metrics(I.intervals(p), "id")}, "id", p.df.select("id", (F.col("id") % k).cast("string").alias("group"))).persist()
+    return groups.tidy({"preliminary": stored(m, "values"), "irregularity": stored(I.case_metrics(I.intervals(p), "id"), "irregularity")}, "id", p.df.select("id", (F.col("id") % k).cast("string").alias("group")))
 
 
 def _first(p: Panel) -> DataFrame:
@@ -84,7 +85,7 @@ def _strata(p: Panel) -> DataFrame:
 
 
 def _strata_fit(p: Panel) -> DataFrame:
-    m = I.case_metrics(I.intervals(p), "id").persist()
+    m = stored(I.case_metrics(I.intervals(p), "id"), "irregularity")
     axes = strata.fit(m, ["interval_cv", "interval_qcod", "interval_adh_rate", "interval_entropy"], ("interval_cv", "interval_adh_rate"))
     return axes.transform(m).select("id", "stratum", "axis_x", "axis_y", "threshold_x", "threshold_y", "axis_correlation")
 
@@ -94,7 +95,8 @@ def _case_intra(p: Panel) -> DataFrame:
 
 
 def _cross(p: Panel) -> DataFrame:
-    long = groups.tidy({"irregularity": I.case_metrics(I.intervals(p), "id"), "intervariable": rows.case_metrics(p), "intravariable": _case_intra(p).select("id", "variable", "indicated_pct")}, "id")
+    frames = {"irregularity": I.case_metrics(I.intervals(p), "id"), "intervariable": rows.case_metrics(p), "intravariable": _case_intra(p).select("id", "variable", "indicated_pct")}
+    long = groups.tidy({k: stored(v, k) for k, v in frames.items()}, "id")
     return groups.cross_aspect(long)
 
 
