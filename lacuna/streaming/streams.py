@@ -22,11 +22,11 @@ def imperfection_rates(masked: DataFrame, cols: list[str], clock: str = "clock",
     return rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"{c}_mask").cast("int")).alias(f"{c}_indicated_count") for c in cols)).select(F.col("window.start").alias("start"), "*").drop("window")
 
 
-def stream_intervals(df: DataFrame, id: str = "id", clock: str = "clock", timeout: str = "1 day") -> DataFrame:
-    """id, clock, interval_seconds between an id's rows in order of arrival batches, sorted within each; state is the last clock (microseconds), kept `timeout` long after the id's last row."""
+def stream_intervals(df: DataFrame, id: str = "id", clock: str = "clock", timeout: str | None = "1 day") -> DataFrame:
+    """id, clock, interval_seconds between an id's rows in order of arrival batches, sorted within each; state is the last clock (microseconds), kept `timeout` long after the id's last row (None: for good; with a timeout a query runs on without new rows)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    ms = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else 0
 
     def run(key, frames, state):
         if state.hasTimedOut:
@@ -40,10 +40,11 @@ def stream_intervals(df: DataFrame, id: str = "id", clock: str = "clock", timeou
             before.iloc[0] = last
         out = pd.DataFrame({"id": key[0], "clock": rows["clock"], "interval_seconds": ((t - before) // 1_000_000)})
         state.update((int(max(t.iloc[-1], last if last is not None else t.iloc[-1])),))
-        state.setTimeoutDuration(ms)
+        if ms:
+            state.setTimeoutDuration(ms)
         yield out[out["interval_seconds"] > 0].astype({"interval_seconds": "int64"})
 
     own = df.select(F.col(id).alias("id"), F.col(clock).alias("clock"))
     kind = own.schema["id"].dataType.simpleString()
     clock_kind = own.schema["clock"].dataType.simpleString()
-    return own.groupBy("id").applyInPandasWithState(run, f"id {kind}, clock {clock_kind}, interval_seconds long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return own.groupBy("id").applyInPandasWithState(run, f"id {kind}, clock {clock_kind}, interval_seconds long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout)

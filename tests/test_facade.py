@@ -99,10 +99,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(data, "id int, clock timestamp, v double").coalesce(1).write.parquet(src)
     rows = spark.readStream.schema("id int, clock timestamp, v double").parquet(src)
     rates = streams.imperfection_rates(streams.stream_masks(rows, ["v"]), ["v"], window="10 minutes")
-    for name, df, mode in (("rates", rates, "complete"), ("iv", streams.stream_intervals(rows), "append")):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-        q.processAllAvailable()
-        q.stop()
+    for name, df, mode in (("rates", rates, "complete"), ("iv", streams.stream_intervals(rows, timeout=None), "append")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
     assert spark.table("rates").agg(F.sum("v_indicated_count"), F.sum("n")).collect()[0][:] == (10, 40)
     got = [r["interval_seconds"] for r in spark.table("iv").collect()]
     assert got == [180] * 37
