@@ -253,7 +253,7 @@ class Analyzer:
         panel = self._mask(replace(self.bare, df=df, cols=cols), (annotation_col,))
         long = groups.tidy(self._case_metrics(panel), panel.id, stored(panel.df.select(panel.id, annotation_col).distinct(), "labels"), annotation_col)
         kept = long.select("group", "id").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("group")
-        long = long.join(F.broadcast(kept), "group", "left_semi")
+        long = long.join(kept, "group", "left_semi")
         long = stored(long, "groups")
         compared = stored(groups.compare_groups(long, n_bootstrap, self.alpha), "compared")
         self.results |= {"group_comparison_descriptives": groups.describe_groups(long), "group_comparison_results": compared, "group_comparison_posthoc": groups.posthoc(long, compared)}
