@@ -123,7 +123,8 @@ def test_links_connect_exactly_what_is_near():
 
 def test_links_in_rounds_and_with_collisions(monkeypatch):
     fps = np.array([0, 3, 15, 1 << 40, (1 << 40) | 7], dtype=np.uint64)
-    want = {(0, 1), (0, 2), (1, 2), (3, 4)}
+    want = {(i, j) for i in range(5) for j in range(i + 1, 5) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    assert (2, 3) not in want and len(want) == 9
     monkeypatch.setattr(simhash, "MOST_VARIANTS", 500)
     a, b = simhash.linked(fps, np.zeros(5, int), 0, 4)
     assert set(zip(a.tolist(), b.tolist())) <= want and {(3, 4)} <= set(zip(a.tolist(), b.tolist()))
