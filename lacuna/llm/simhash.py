@@ -119,6 +119,7 @@ def linked(fps: np.ndarray, flipped: np.ndarray, prefix: int, radius: int) -> tu
             for i in own:
                 to = own[(own > i) & (np.bitwise_count(fps[own] ^ fps[i]) <= radius)]
                 a, b = np.concatenate([a, np.full(len(to), i)]), np.concatenate([b, to])
+        near &= x != y  # one fingerprint's own variants
         x, y = x[near], y[near]
         pairs = np.unique(np.minimum(x, y) * len(fps) + np.maximum(x, y))
         a, b = np.concatenate([a, pairs // len(fps)]), np.concatenate([b, pairs % len(fps)])
