@@ -23,6 +23,9 @@ WINDOW, GRAIN = 10, 4
 #: Java's form of what separates words, before and after A-Z are lower-cased.
 SEPARATORS, SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 500_000
+#: In repetitive text one fingerprint can stand for any number of windows in a row; such runs are joined again every so many windows,
+#: as a join reaches WINDOW - GRAIN windows on. Twice this less one must not exceed that reach by more than one.
+RESTART = (WINDOW - GRAIN + 2) // 2
 
 
 def words_of(text: Column) -> Column:
@@ -74,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(*row_key(id_col, text_col), words_of(F.col(text_col)).alias("words"))
     full = fingerprinted(rows)
     # outer: else Spark infers a filter on the array's size, moves it below and computes all steps once more for each use
-    runs = full.select("_k1", "_k2", "words", "prints", F.posexplode_outer("prints").alias("at", "print")).where("print is not null and (at = 0 or print <> prints[at - 1])")
+    runs = full.select("_k1", "_k2", "words", "prints", F.posexplode_outer("prints").alias("at", "print")).where(f"print is not null and (at = 0 or print <> prints[at - 1] or (at % {RESTART} = 0 and print = get(prints, at - {RESTART})))")
     if small:
         found = runs.join(hold(prints), "print")
     else:

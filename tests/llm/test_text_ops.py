@@ -162,7 +162,7 @@ def test_secrets_match_brute_force(make_docs):
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest(), text
         assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(k == x for _, x, _ in spans) for k in range(3))
         assert set(line) <= set(got[i]["spans"].split(",") if got[i]["spans"] else [])
-    assert got[12]["spans"] == "github:0:40" and "pem:0:" in got[14]["spans"]
+    assert got[12]["spans"] == "github:0:40,hex:4:40" and "pem:0:" in got[14]["spans"]
 
 
 def test_automaton_agrees_with_re():
@@ -226,6 +226,19 @@ def test_decontamination_matches_brute_force(spark, odd, words, monkeypatch, lim
     assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {r[0] for r in _contaminated(rows, items) if not r[5]}
 
 
+def test_decontamination_of_repetitive_texts(spark, make_docs):
+    import random
+
+    rng = random.Random(3)
+    known = [f"w{i}" for i in range(300)]
+    plain = [rng.choice(known) for _ in range(60)]
+    rows = [(1, "ab " * 200), (2, "ab cd " * 50), (3, " ".join(plain)), (4, " ".join(plain[:30] + ["x"] * 97 + plain[30:])), (5, "a b c d e f g " * 20)]
+    rows += [(10 + n, "y " + "ab " * n + "z") for n in range(9, 40)]
+    items = [(1, "ab " * 12), (2, "ab cd " * 6), (3, " ".join(plain[5:50])), (4, "x " * 40), (5, "c d e f g a b c d e f g"), (6, "z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(tuple(r) for r in decontam.decontaminate(make_docs(rows), bench).collect()) == _contaminated(rows, items)
+
+
 def test_decontamination_of_and_against_nothing(spark, odd, make_docs):
     rows, docs = odd
     none = spark.createDataFrame([], "item_id long, text string")
