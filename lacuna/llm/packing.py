@@ -143,25 +143,23 @@ class _Stock:
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Fixes dominating sets; returns [(lengths of a set, how many such sequences)] and the counts left.
 
-    For the largest piece j and the room r beside it: {j} dominates if nothing fits; {j, i} with i the largest
+    For each piece j, the largest first, and the room r beside it: {j} dominates if nothing fits; {j, i} with i the largest
     that fits dominates if i fills r, or if no two pieces fit together; {j, a, b} dominates if no three fit
-    and every pair that fits is matched piece by piece by (a, b). Lengths at which no set dominates stay.
+    and every pair that fits is matched piece by piece by (a, b). Lengths at which no set dominates stay, and smaller pieces may still go with them.
     """
-    stock, fixed, kept = _Stock(counts), [], {}
+    stock, fixed = _Stock(counts), []
     for j in sorted(counts, reverse=True):
         while stock.left.get(j):
             stock.add(j, -1)
             group = _dominating(stock, j, capacity - j)
             stock.add(j, 1)
             if group is None:
-                kept[j] = stock.left[j]
-                stock.add(j, -kept[j])
                 break
             n = min(stock.left[x] // k for x, k in Counter(group).items())  # the set dominates for as long as it lasts
             fixed.append((group, n))
             for x in group:
                 stock.add(x, -n)
-    return fixed, kept
+    return fixed, stock.left
 
 
 def _dominating(stock: _Stock, j: int, r: int) -> tuple[int, ...] | None:
