@@ -1,6 +1,6 @@
 """A training corpus from `documents`, in five stages, each on all that its predecessor kept.
 
-Language ID drops what it rejects; SimHash keeps the smallest doc_id of each group of near-duplicates; decontamination drops
+Language ID drops what it rejects; SimHash keeps one document, that of the smallest doc_id, of each group of near-duplicates; decontamination drops
 documents that hold a benchmark passage; the secret scan replaces secrets by their kind; packing assigns every
 token piece a sequence and an offset. All stages but the last return the columns of documents.
 """
@@ -23,12 +23,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows whose id is their component's, one of each id. Rows without an id stay only if no row of their group has one."""
-    own, key = fresh(docs, "_id", "_key")
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found[own]), "left_semi")
-    columns = [f"`{c}`" for c in docs.columns]
-    return kept.select(*columns, row_key("doc_id", "text")[0].alias(key)).dropDuplicates([key]).select(*columns)
+    """One row of each component: the smallest id, then the least digest of the text. Rows without an id stay only if no row of their group has one."""
+    keys = row_key("doc_id", "text")
+    found = simhash.first_of_components(docs)
+    own = fresh(docs, *found.columns)
+    kept = docs.select("*", *(k.alias(c) for k, c in zip(keys, own))).join(found.toDF(*own), own, "left_semi")
+    return kept.dropDuplicates(own).select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,15 +20,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import ascii_lower, cut, drop_table, mix64, shuffle_partitions
+from lacuna.llm.common import ascii_lower, cut, drop_table, mix64, row_key, shuffle_partitions
 
 BITS = 64
 #: Variants that a task lists and sorts at a time.
 MOST_VARIANTS = 4_000_000
-FINGERPRINTS = "doc_id long, fp long"
 LINKS = "a long, b long"
 
 
@@ -56,15 +55,18 @@ def shingle_hashes(text: str, size: int, seed: int) -> np.ndarray:
     return np.fromiter((h(line[i:j], seed) for i, j in zip(begin, (ends[size - 1 :] - 1).tolist())), dtype=np.uint64, count=len(begin))
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keys: list[Column] | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, or, where keys are given, these (longs) in place of doc_id; fp holds the 64 bits as a signed long."""
+    rows = docs.select(*(keys or [F.col(id_col).cast("long").alias("doc_id")]), ascii_lower(F.col(text_col)).alias("text"))
+    names = [*rows.columns[:-1], "fp"]
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(shingle_hashes(x.as_py() or "", size, seed)) for x in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            *own, text = b.columns
+            fp = np.array([fingerprint(shingle_hashes(x.as_py() or "", size, seed)) for x in text], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(fp.view(np.int64))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.col(text_col)).alias("text")).mapInArrow(run, FINGERPRINTS)
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def masks(bits: int, most: int) -> np.ndarray:
@@ -200,14 +202,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
+def _rooted(least: DataFrame, radius: int) -> DataFrame:
+    """Adds each fingerprint's root (column fp, unique): the least fingerprint of its component."""
+    roots = components(links(least.select("fp"), radius, prefix_for(least.count())))
+    return least.join(roots, F.col("fp") == F.col("node"), "left").select(*least.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints, _ = cut(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
     least, _ = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "least")
-    roots = components(links(least.select("fp"), radius, prefix_for(least.count())))
     # the least document of each component, over its fingerprints
-    member = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    member, _ = cut(member, "members")
+    member, _ = cut(_rooted(least, radius), "members")
     first, _ = cut(member.groupBy("root").agg(F.min("doc").alias("component_id")), "first")
     component = member.join(first, "root").select("fp", "component_id")
     return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_components(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row_key of one document of each component: the smallest id, missing ids last, and among equal ids the least digest."""
+    prints, _ = cut(fingerprints(docs, size, seed, id_col, text_col, row_key(id_col, text_col)), "fingerprints")
+    least, _ = cut(prints.groupBy("fp").agg(F.min(F.struct(*prints.columns[:-1])).alias("key")), "least")
+    return _rooted(least, radius).groupBy("root").agg(F.min("key").alias("key")).select("key.*")

@@ -320,3 +320,16 @@ def test_empty_tables(make_docs, op):
     docs = make_docs([])
     run = {"substrings": substrings.drop_repeats, "simhash": simhash.near_duplicates, "secrets": automaton.find_secrets, "packing": lambda d: packing.pack_documents(d, queries.tokenizer_path())}[op]
     assert run(docs).collect() == []
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, make_docs, words):
+    """Different texts without an id, or under one id, are groups of their own; near copies are not, whatever their id."""
+    import corpus_pipeline
+
+    texts = [words(200, s) for s in range(20, 26)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[3]), (8, texts[4]), (None, texts[3]), (9, texts[2]), (5, texts[5]), (6, texts[5] + " "), (5, texts[0])]
+    docs = make_docs(rows)
+    got = corpus_pipeline.deduplicated(spark, docs, "")
+    assert got.columns == docs.columns
+    want = Counter([(5, texts[0]), (None, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4]), (5, texts[5])])
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
