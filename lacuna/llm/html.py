@@ -5,7 +5,7 @@ with the largest sum. The tags' scores are learned from labelled pages, those th
 <article> or <main>: a tag costs as many words as the log ratio of its rates outside and inside such elements says, and
 at least a little. The part is then widened or narrowed to whole blocks (and to the marked element
 that holds most of it, if there is one), and blocks within menus, headers, footers, sidebars, notices, adverts, forms
-and comments are left out wherever they lie.
+and comments are left out wherever they lie: the scan passes over them, however long they are.
 
 Fitting takes `sample_pages` pages at most, by a hash of the id. Cases: null or empty html and pages without words
 give an empty text; unclosed and stray tags are closed by the next block or end tag that needs it; repeated rows are
@@ -47,11 +47,12 @@ DEFAULT_COST, LEAST_COST, MOST_COST = 3.0, 0.05, 60.0
 
 
 class Page:
-    """tokens: (kind, value) with kind "w" (words of a piece of text) or "t" (a tag's name); blocks: (first token, last token + 1, text, away, content element or -1)."""
+    """scores_of: (a tag's name, 0) or ("", words of a piece of text); inside, away: whether the token lies in marked content, and in a box that is left out; blocks: (first token, last token + 1, text, away, content element or -1)."""
 
     def __init__(self, source: str):
         self.scores_of: list[tuple[str, int]] = []
         self.inside: list[bool] = []
+        self.away: list[bool] = []
         self.blocks: list[tuple[int, int, str, bool, int]] = []
         self._read(source)
 
@@ -69,6 +70,10 @@ class Page:
             parts.clear()
             first = len(self.scores_of)
 
+        def note(gone: bool):
+            self.inside.append(content >= 0)
+            self.away.append(gone)
+
         def top():
             nonlocal away, content
             away, content = stack[-1][1:] if stack else (False, -1)
@@ -92,7 +97,7 @@ class Page:
                 count = len(text.split())
                 if count:
                     self.scores_of.append(("", count))
-                    self.inside.append(content >= 0)
+                    note(away)
                 continue
             if m[2] is None:
                 continue
@@ -104,17 +109,18 @@ class Page:
                 parts.append(" ")
             self.scores_of.append((name, 0))
             if end:
+                gone = away
                 if block or name in AWAY:
                     if any(s[0] == name for s in stack):
                         close(name)
-                self.inside.append(content >= 0)
+                note(gone)
                 if block:
                     first = len(self.scores_of)
                 continue
             if name in RAW:
                 found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = found.end() if found else n
-                self.inside.append(content >= 0)
+                note(away)
                 continue
             if block and stack and stack[-1][0] in CLOSED_BY_BLOCK and (name not in ("ul", "ol", "p", "div", "blockquote", "table", "dl", "pre") or stack[-1][0] == "p" or stack[-1][0] == name):
                 stack.pop()
@@ -129,7 +135,7 @@ class Page:
                     content = n_content
                 away = gone
                 stack.append((name, away, content))
-            self.inside.append(content >= 0)
+            note(away)
             if block:
                 first = len(self.scores_of) - 1
         flush()
@@ -159,9 +165,11 @@ def learn_costs(pages: list[Page]) -> dict[str, float]:
 
 
 def best_region(page: Page, costs: dict[str, float]) -> tuple[int, int]:
-    """First and one past the last token of the part with the largest sum."""
+    """First and one past the last token of the part with the largest sum. What is left out anyway neither adds nor costs."""
     best, at, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (name, words) in enumerate(page.scores_of):
+    for i, ((name, words), away) in enumerate(zip(page.scores_of, page.away)):
+        if away:
+            continue
         total += words or -costs.get(name, DEFAULT_COST)
         if total <= 0:
             total, begin = 0.0, i + 1
@@ -174,17 +182,17 @@ def extract(source: str | None, costs: dict[str, float]) -> str:
     page = Page(source or "")
     i, j = best_region(page, costs)
     size = lambda b: min(j, b[1]) - max(i, b[0])
-    hit = [b for b in page.blocks if size(b) > 0]
+    kept = [b for b in page.blocks if not b[3]]
+    hit = [b for b in kept if size(b) > 0] or kept
     weight = Counter()
     for b in hit:
-        if not b[3]:
-            weight[b[4]] += len(b[2])
+        weight[b[4]] += len(b[2])
     marked = max((x for x in weight if x >= 0), key=lambda x: weight[x], default=-1)
     if marked >= 0 and 2 * weight[marked] >= sum(weight.values()):
-        chosen = [b for b in page.blocks if b[4] == marked]
+        chosen = [b for b in kept if b[4] == marked]
     else:
         chosen = hit
-    return "\n\n".join(b[2] for b in chosen if not b[3])
+    return "\n\n".join(b[2] for b in chosen)
 
 
 def fit_costs(pages: DataFrame, sample_pages: int = 400, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:

@@ -145,6 +145,19 @@ def test_html_text(spark):
     assert html.extract_pages(pages.limit(0), {}).collect() == []
 
 
+def test_html_text_beside_long_boxes():
+    costs = html.learn_costs([html.Page(PAGE)] * 3)
+    long = "many other words of no interest " * 40
+    short = f"<body><nav><a>x</a></nav><article><h1>Short head</h1><p>Few words.</article><footer>&copy; {long}</footer></body>"
+    assert html.extract(short, costs) == "Short head\n\nFew words."
+    for box in ('<section id="comments">', '<div class="ad">', "<aside>"):
+        end = f"</{box[1:].split()[0].rstrip('>')}>"
+        boxed = f"{box}<p>{long}</p><p>{long}</p>{end}"
+        assert html.extract(f"<body><div><p>The text of the page</p></div>{boxed}</body>", costs) == "The text of the page"
+        assert html.extract(f"<body>{boxed}<main><p>The text of the page</p></main></body>", costs) == "The text of the page"
+    assert html.extract(f"<body><footer>{long}</footer></body>", costs) == ""
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "é" * 700 + "</html>"
     rows = [(1, "http://a/ü\r\nX: y", long), (7, "b", long), (3, None, long), (7, "b", long), (4, "c", "short"), (9, "d", "short"), (5, "e", None), (6, "f", ""), (None, "g", long), (8, "h", "x\r\n\r\ny" * 300)] + [(100 + i, f"u{i}", f"<p>{i}</p>" * 40) for i in range(30)]
