@@ -46,9 +46,18 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+KEYS = ["_k1", "_k2", "_k3"]
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
-    """(_k1, _k2): the id, missing ids last, and a digest of the text. Rows that agree in both are one document repeated."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_k1"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_k2")]
+    """KEYS, all longs: the id, missing ids last; two 32-bit digests of the text, the CRC-32 before part of its XXH64; where the id is missing, another XXH64.
+
+    Rows that agree in all are one document repeated: texts are told apart by 64 bits under one id, and by 128 bits without an id.
+    """
+    number, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    first = F.shiftleft(F.crc32(text.cast("binary")) - F.lit(1 << 31), 32)  # signed, in the order of the CRC-32
+    second = F.when(number.isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.lit(0).cast("long"))
+    return [c.alias(k) for c, k in zip((F.coalesce(number, F.lit(LAST_ID)), first.bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))), second), KEYS)]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

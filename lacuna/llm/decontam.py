@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import ascii_lower, cut, fresh, row_key
+from lacuna.llm.common import KEYS, ascii_lower, cut, fresh, row_key
 
 WINDOW, GRAIN = 10, 4
 #: Java's form of what separates words, before and after A-Z are lower-cased.
@@ -62,7 +62,7 @@ def _line(words: str, at: Column, n: int | Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(_k1, _k2, hits, items) of the documents with hits: hits holds structs (at, n), items the sorted ids of items with occurring windows."""
+    """(KEYS, hits, items) of the documents with hits: hits holds structs (at, n), items the sorted ids of items with occurring windows."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("words"))
     whole = fingerprinted(items).select("item", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
     whole = whole.select("print", F.lit(WINDOW).alias("n"), _line("words", F.col("at"), WINDOW).alias("line"), "item")
@@ -77,37 +77,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(*row_key(id_col, text_col), words_of(F.col(text_col)).alias("words"))
     full = fingerprinted(rows)
     # outer: else Spark infers a filter on the array's size, moves it below and computes all steps once more for each use
-    runs = full.select("_k1", "_k2", "words", "prints", F.posexplode_outer("prints").alias("at", "print")).where(f"print is not null and (at = 0 or print <> prints[at - 1] or (at % {RESTART} = 0 and print = get(prints, at - {RESTART})))")
+    runs = full.select(*KEYS, "words", "prints", F.posexplode_outer("prints").alias("at", "print")).where(f"print is not null and (at = 0 or print <> prints[at - 1] or (at % {RESTART} = 0 and print = get(prints, at - {RESTART})))")
     if small:
         found = runs.join(hold(prints), "print")
     else:
-        places = runs.select("_k1", "_k2", "at", "print").join(prints, "print").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "print")).alias("places"))
-        found = full.join(places, ["_k1", "_k2"]).select("_k1", "_k2", "words", "prints", F.explode("places").alias("p")).select("_k1", "_k2", "words", "prints", "p.at", "p.print")
+        places = runs.select(*KEYS, "at", "print").join(prints, "print").groupBy(*KEYS).agg(F.collect_set(F.struct("at", "print")).alias("places"))
+        found = full.join(places, KEYS).select(*KEYS, "words", "prints", F.explode("places").alias("p")).select(*KEYS, "words", "prints", "p.at", "p.print")
     last = F.least(F.col("at") + (WINDOW - GRAIN), F.size("prints") - 1)
-    windows = found.select("_k1", "_k2", "words", "prints", "print", F.explode(F.sequence("at", last)).alias("at")).where("prints[at] = print")
-    windows = windows.select("_k1", "_k2", "at", F.lit(WINDOW).alias("n"), _line("words", F.col("at"), WINDOW).alias("line"))
+    windows = found.select(*KEYS, "words", "prints", "print", F.explode(F.sequence("at", last)).alias("at")).where("prints[at] = print")
+    windows = windows.select(*KEYS, "at", F.lit(WINDOW).alias("n"), _line("words", F.col("at"), WINDOW).alias("line"))
     for n in lengths:
         every = F.sequence(F.lit(0), F.size("words") - n)
-        windows = windows.unionByName(rows.where(F.size("words") >= n).select("_k1", "_k2", "words", F.explode(every).alias("at")).select("_k1", "_k2", "at", F.lit(n).alias("n"), _line("words", F.col("at"), n).alias("line")))
+        windows = windows.unionByName(rows.where(F.size("words") >= n).select(*KEYS, "words", F.explode(every).alias("at")).select(*KEYS, "at", F.lit(n).alias("n"), _line("words", F.col("at"), n).alias("line")))
     hits = windows.join(hold(known.select("n", "line", "items")), ["n", "line"])
-    return hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return hits.groupBy(*KEYS).agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
     found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text)
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))))
-    found = found.select("_k1", "_k2", covered.cast("long").alias("hit"), F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
+    found = found.select(*KEYS, covered.cast("long").alias("hit"), F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), count_words(F.col(text_col)).alias("n_words"), *row_key(id_col, text_col))
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return every.join(found, ["_k1", "_k2"], "left").select(
+    return every.join(found, KEYS, "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without hits, with the same columns."""
-    k1, k2 = fresh(docs, "_k1", "_k2")
-    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("_k1").alias(k1), F.col("_k2").alias(k2))
-    own1, own2 = row_key(id_col, text_col)
-    return docs.select("*", own1.alias(k1), own2.alias(k2)).join(found, [k1, k2], "left_anti").drop(k1, k2).select(*(f"`{c}`" for c in docs.columns))
+    own = fresh(docs, *KEYS)
+    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text).select(*KEYS).toDF(*own)
+    return docs.select("*", *(k.alias(c) for k, c in zip(row_key(id_col, text_col), own))).join(found, own, "left_anti").select(*(f"`{c}`" for c in docs.columns))

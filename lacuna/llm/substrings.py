@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import chunks, mix64, partitions_for, row_key, shared_dir, text_bytes
+from lacuna.llm.common import KEYS, chunks, mix64, partitions_for, row_key, shared_dir, text_bytes
 
 #: Bytes of text that a task settles at a time, and that a bucket gets on average.
 CHUNK_BYTES = 6 << 20
@@ -39,7 +39,7 @@ LEVEL = 3
 MOST_PARTITIONS = 50_000
 _P = np.uint64(0x9E3779B97F4A7C55)
 SENT = "bucket int, kind int, payload binary"
-REPEATS = "_k1 long, _k2 long, start int, n int"
+REPEATS = "_k1 long, _k2 long, _k3 long, start int, n int"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 KEPT_TEXT = KEPT + ", kept_text string"
 
@@ -119,10 +119,12 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _intervals(k1, k2, start) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive windows; rows in the order of (document, start)."""
-    begin = _runs(k1, k2, start - np.arange(len(start)))
-    return k1[begin], k2[begin], start[begin].astype(np.int32), np.diff(np.append(begin, len(start))).astype(np.int32)
+def _intervals(keys: tuple[np.ndarray, ...], start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive windows, as keys, start and count, in the order of (document, start)."""
+    rows = np.lexsort((start, *keys[::-1]))
+    keys, start = tuple(k[rows] for k in keys), start[rows]
+    begin = _runs(*keys, start - np.arange(len(start)))
+    return *(k[begin] for k in keys), start[begin].astype(np.int32), np.diff(np.append(begin, len(start))).astype(np.int32)
 
 
 def _pack(*arrays: np.ndarray, words: bytes = b"") -> bytes:
@@ -145,21 +147,20 @@ def _unpack(payload: bytes) -> tuple[list[np.ndarray], bytes]:
 
 
 def _settled(rows: list, width: int, grain: int, buckets: int):
-    """(bucket, kind, payload) of some rows (k1, k2, text): kind 0 holds super-k-mers, kind 1 intervals that repeat within these rows."""
-    lists = [(r[2] or "").encode("utf-8", "replace").split() for r in rows]
+    """(bucket, kind, payload) of some rows (KEYS, text): kind 0 holds super-k-mers, kind 1 intervals that repeat within these rows."""
+    lists = [(r[-1] or "").encode("utf-8", "replace").split() for r in rows]
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     own = list(chain.from_iterable(lists))
     del lists
     words = Words(own, sizes, width)
     if not len(words.at):
         return
-    k1, k2 = (np.array([r[i] for r in rows], dtype=np.int64)[words.owner] for i in (0, 1))
+    keys = tuple(np.array([r[i] for r in rows], dtype=np.int64)[words.owner] for i in range(len(KEYS)))
     start = words.start.astype(np.int64)
-    again = repeated(words, (start, k2, k1), width)
+    again = repeated(words, (start, *keys[::-1]), width)
     if again.any():
         gone = np.flatnonzero(again)
-        gone = gone[np.lexsort((start[gone], k2[gone], k1[gone]))]
-        yield int(k2[gone[0]] % buckets), 1, _pack(*_intervals(k1[gone], k2[gone], start[gone]))
+        yield int(keys[1][gone[0]] % buckets), 1, _pack(*_intervals(tuple(k[gone] for k in keys), start[gone]))
     least = _least(mix64(words.rolled(grain)), width - grain + 1)[words.at]
     stay = np.flatnonzero(~again)
     least, at, owner = least[stay], words.at[stay], words.owner[stay]
@@ -170,32 +171,30 @@ def _settled(rows: list, width: int, grain: int, buckets: int):
     for group in np.split(order, _runs(bucket[order])[1:]):
         b, m = begin[group], n[group] + width - 1
         spans = b"\n".join([b" ".join(own[i:j]) for i, j in zip(at[b].tolist(), (at[b] + m).tolist())])
-        yield int(bucket[group[0]]), 0, _pack(k1[stay[b]], k2[stay[b]].astype(np.uint32), start[stay[b]].astype(np.int32), m.astype(np.uint32), words=spans)
+        yield int(bucket[group[0]]), 0, _pack(*(k[stay[b]] for k in keys), start[stay[b]].astype(np.int32), m.astype(np.uint32), words=spans)
 
 
 def _judged(payloads: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Intervals of the windows of a bucket that have an earlier equal one."""
     arrays, own = zip(*map(_unpack, payloads))
-    k1, k2, base, m = (np.concatenate(x) for x in zip(*arrays))
+    *keys, base, m = (np.concatenate(x) for x in zip(*arrays))
     words = Words(list(chain.from_iterable(map(bytes.split, own))), m.astype(np.int64), width)
     del own
-    k1, k2, base = k1[words.owner], k2[words.owner].astype(np.int64), base[words.owner]
-    start = base + words.start
-    gone = np.flatnonzero(repeated(words, (start, k2, k1), width))
-    gone = gone[np.lexsort((start[gone], k2[gone], k1[gone]))]
-    return _intervals(k1[gone], k2[gone], start[gone])
+    keys, start = tuple(k[words.owner] for k in keys), base[words.owner] + words.start
+    gone = np.flatnonzero(repeated(words, (start, *keys[::-1]), width))
+    return _intervals(tuple(k[gone] for k in keys), start[gone])
 
 
 def repeats(docs: DataFrame, width: int = 20, grain: int = 4, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None) -> DataFrame:
-    """(_k1, _k2, start, n): n consecutive windows from word `start` on have an earlier equal one. Intervals may come twice."""
+    """(KEYS, start, n): n consecutive windows from word `start` on have an earlier equal one. Intervals may come twice."""
     spark = docs.sparkSession
     n_bytes = text_bytes(docs, text_col) if n_bytes is None else n_bytes
     buckets = partitions_for(spark, n_bytes, BUCKET_BYTES)
     parts = min(buckets, max(MOST_PARTITIONS, partitions_for(spark, 0, 1)))
 
     def send(batches):
-        rows = (zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2))) for b in batches)
-        for chunk in chunks(rows, lambda r: len(r[2] or ""), CHUNK_BYTES):
+        rows = (zip(*(b.column(i).to_pylist() for i in range(len(KEYS))), (x.as_py() for x in b.column(len(KEYS)))) for b in batches)
+        for chunk in chunks(rows, lambda r: len(r[-1] or ""), CHUNK_BYTES):
             out = list(_settled(chunk, width, grain, buckets))
             for i in range(0, len(out), 512):
                 bucket, kind, payload = zip(*out[i : i + 512])
@@ -217,7 +216,7 @@ def repeats(docs: DataFrame, width: int = 20, grain: int = 4, id_col: str = "doc
             yield _batch(_judged(held, width))
 
     def _batch(arrays):
-        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["_k1", "_k2", "start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (*[pa.int64()] * len(KEYS), pa.int32(), pa.int32()))], names=[*KEYS, "start", "n"])
 
     sent = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string")).mapInArrow(send, SENT)
     dealt = sent.repartitionById(parts, F.col("bucket") % parts)
@@ -229,7 +228,7 @@ def repeats(docs: DataFrame, width: int = 20, grain: int = 4, id_col: str = "doc
 def drop_repeats(docs: DataFrame, width: int = 20, grain: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Every document without the words that a repeated window covers: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     shared_dir(docs.sparkSession)
-    gone = repeats(docs, width, grain, id_col, text_col).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    gone = repeats(docs, width, grain, id_col, text_col).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_key(id_col, text_col))
 
     def keep(batches):
@@ -251,4 +250,4 @@ def drop_repeats(docs: DataFrame, width: int = 20, grain: int = 4, id_col: str =
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in (KEPT_TEXT if with_text else KEPT).split(", ")])
 
-    return rows.join(gone, ["_k1", "_k2"], "left").select("doc_id", "text", "gone").mapInArrow(keep, KEPT_TEXT if with_text else KEPT)
+    return rows.join(gone, KEYS, "left").select("doc_id", "text", "gone").mapInArrow(keep, KEPT_TEXT if with_text else KEPT)

@@ -322,14 +322,35 @@ def test_empty_tables(make_docs, op):
     assert run(docs).collect() == []
 
 
-def test_pipeline_keeps_one_row_of_each_group(spark, make_docs, words):
+def test_pipeline_keeps_one_row_of_each_group(spark, make_docs):
     """Different texts without an id, or under one id, are groups of their own; near copies are not, whatever their id."""
     import corpus_pipeline
 
-    texts = [words(200, s) for s in range(20, 26)]
+    texts = [" ".join(f"{x}{i}" for i in range(200)) for x in "abcdef"]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[3]), (8, texts[4]), (None, texts[3]), (9, texts[2]), (5, texts[5]), (6, texts[5] + " "), (5, texts[0])]
     docs = make_docs(rows)
     got = corpus_pipeline.deduplicated(spark, docs, "")
     assert got.columns == docs.columns
     want = Counter([(5, texts[0]), (None, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4]), (5, texts[5])])
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
+def _crc_twins(heads):
+    """One text from each head whose CRC-32 agree."""
+    text = lambda k, i: f"{heads[k]} {hashlib.md5(f'{k} {i}'.encode()).hexdigest()}"
+    seen = {zlib.crc32(text(0, i).encode()): i for i in range(200_000)}
+    j = next(j for j in range(2_000_000) if zlib.crc32(text(1, j).encode()) in seen)
+    return text(0, seen[zlib.crc32(text(1, j).encode())]), text(1, j)
+
+
+@pytest.mark.parametrize("doc", [None, 3])
+def test_texts_with_one_crc_are_two_documents(make_docs, spark, doc):
+    passage = " ".join(f"w{i}" for i in range(25))
+    hit, clean = _crc_twins((passage, "four words of text"))
+    assert zlib.crc32(hit.encode()) == zlib.crc32(clean.encode())
+    docs, bench = make_docs([(doc, hit), (doc, clean), (1, passage + " one")]), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontam.decontaminate(docs, bench).collect())
+    assert got == Counter([(doc, 26, 25), (doc, 5, 0), (1, 26, 25)])
+    assert [r["text"] for r in decontam.drop_contaminated(docs, bench).collect()] == [clean]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(docs).collect())
+    assert got == Counter([(doc, 26, 25), (doc, 5, 0), (1, 26, 0)])
