@@ -302,18 +302,37 @@ def henze_zirkler(rows: np.ndarray) -> dict:
     rows = rows[~np.isnan(rows).any(axis=1)]
     n, d = rows.shape
     if d < 2 or n <= d:
-        return {"hz": None, "p_value": None, "normal": None, "n": n}
+        return henze_zirkler_of(n, d, None, None)
     centred = rows - rows.mean(axis=0)
     cov = np.atleast_2d(centred.T @ centred / n)
-    inv = np.linalg.pinv(cov)
-    white = centred @ inv
-    dj = np.einsum("ij,ij->i", white, centred)
-    b = 1 / math.sqrt(2) * ((2 * d + 1) / 4) ** (1 / (d + 4)) * n ** (1 / (d + 4))
     if np.linalg.matrix_rank(cov) < d:
-        hz = 4.0 * n
-    else:
-        pairs = sum(np.exp(-b * b / 2 * (dj[i : i + 512, None] + dj[None, :] - 2 * white[i : i + 512] @ centred.T)).sum() for i in range(0, n, 512))
-        hz = n * (pairs / n**2 - 2 * (1 + b * b) ** (-d / 2) * np.exp(-b * b / (2 * (1 + b * b)) * dj).mean() + (1 + 2 * b * b) ** (-d / 2))
+        return henze_zirkler_of(n, d, None, None)
+    b, inv, each = henze_zirkler_width(n, d), np.linalg.pinv(cov), np.ones(n)
+    return henze_zirkler_of(n, d, henze_zirkler_pairs(centred, each, centred, each, inv, b), henze_zirkler_centre(centred, each, inv, b))
+
+
+def henze_zirkler_width(n: int, d: int) -> float:
+    return 1 / math.sqrt(2) * ((2 * d + 1) / 4) ** (1 / (d + 4)) * n ** (1 / (d + 4))
+
+
+def henze_zirkler_pairs(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, inv: np.ndarray, b: float) -> float:
+    """The sum over all pairs of rows of x and y (centred, with their counts)."""
+    white = x @ inv
+    dx, dy = np.einsum("ij,ij->i", white, x), np.einsum("ij,ij->i", y @ inv, y)
+    return float(sum(nx[i : i + 512] @ np.exp(-b * b / 2 * (dx[i : i + 512, None] + dy[None, :] - 2 * white[i : i + 512] @ y.T)) @ ny for i in range(0, len(x), 512)))
+
+
+def henze_zirkler_centre(x: np.ndarray, nx: np.ndarray, inv: np.ndarray, b: float) -> float:
+    """The sum over rows (centred, with their counts) against the centre."""
+    return float(nx @ np.exp(-b * b / (2 * (1 + b * b)) * np.einsum("ij,ij->i", x @ inv, x)))
+
+
+def henze_zirkler_of(n: int, d: int, pairs: float | None, centre: float | None) -> dict:
+    """The test from its sums; without them, of a singular covariance."""
+    if d < 2 or n <= d:
+        return {"hz": None, "p_value": None, "normal": None, "n": n}
+    b = henze_zirkler_width(n, d)
+    hz = 4.0 * n if pairs is None else n * (pairs / n**2 - 2 * (1 + b * b) ** (-d / 2) * centre / n + (1 + 2 * b * b) ** (-d / 2))
     wb = (1 + b * b) * (1 + 3 * b * b)
     a = 1 + 2 * b * b
     mu = 1 - a ** (-d / 2) * (1 + d * b * b / a + d * (d + 2) * b**4 / (2 * a * a))

@@ -15,6 +15,10 @@ from lacuna.functions.expr import ratio
 from lacuna.functions.order import average_ranks, ordered_counts
 from lacuna.operators.panel import Panel
 from lacuna.operators.rows import patterns
+from lacuna.sources.store import stored
+
+#: Distinct rows of a block in the normality test.
+BLOCK_ROWS = 8192
 
 
 # --- two and more groups, distributed -----------------------------------------------------------
@@ -114,19 +118,40 @@ def shapiro_wilk(p: Panel, alpha: float = 0.05) -> DataFrame:
     return p.long(p.numeric()).where("value is not null and not isnan(value)").select("variable", "value").groupBy("variable").applyInPandas(run, "variable string, n long, w double, p_value double, normal boolean")
 
 
-def multivariate_normality(p: Panel, most_rows: int = 5000) -> DataFrame:
-    """Henze-Zirkler over complete rows. The test is quadratic: beyond most_rows it takes a sample by a hash of id and clock_no, and says so in `sampled`."""
-    cols = p.numeric()
-    rows = p.df.dropna(subset=cols)
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64(p.id, p.clock_no), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = K.henze_zirkler(pdf[cols].to_numpy(dtype=float))
-        return pd.DataFrame([[r["n"], r["hz"], r["p_value"], r["normal"], n > most_rows]])
+def multivariate_normality(p: Panel) -> DataFrame:
+    """Henze-Zirkler over all complete rows. Equal rows count once with their number; the sum over pairs runs block against block, one task a pair of blocks."""
+    spark, cols = p.df.sparkSession, p.numeric()
+    d = len(cols)
+    xs = [f"_x{i}" for i in range(d)]
+    rows = p.df.dropna(subset=cols).select(*(F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(cols, xs))).groupBy(*xs).agg(F.count(F.lit(1)).alias("_n"))
+    rows = stored(rows, "complete-rows")
+    own = rows.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), *(F.sum(F.col(x) * F.col("_n")).alias(x) for x in xs)).collect()[0]
+    m, n = own["m"], own["n"]
+    sums = []
+    if d >= 2 and n > d:
+        mean = np.array([own[x] for x in xs]) / n
+        off = [F.col(x) - F.lit(float(v)) for x, v in zip(xs, mean)]
+        terms = rows.agg(*(F.sum(F.col("_n") * off[i] * off[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d))).collect()[0]
+        cov = np.array([[terms[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / n
+        if np.linalg.matrix_rank(cov) == d:
+            sums = [_normality_sums(rows, xs, m, mean, np.linalg.pinv(cov), K.henze_zirkler_width(n, d))]
+    r = K.henze_zirkler_of(n, d, *(sums[0] if sums else (None, None)))
+    return spark.createDataFrame([(r["n"], r["hz"], r["p_value"], r["normal"])], "n long, hz double, p_value double, normal boolean")
+
+
+def _normality_sums(rows: DataFrame, xs: list[str], m: int, mean: np.ndarray, inv: np.ndarray, b: float) -> tuple[float, float]:
+    """Sums over pairs and against the centre of the distinct rows `xs` with their counts _n; every row goes to each pair of blocks with its own."""
+    blocks = -(-m // BLOCK_ROWS)
 
-    return rows.select(*cols).groupBy().applyInPandas(run, "n long, hz double, p_value double, normal boolean, sampled boolean")
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n, of = pdf[xs].to_numpy(dtype=float) - mean, pdf["_n"].to_numpy(dtype=float), pdf["_block"].to_numpy()
+        low, high = of == key[0], of == key[1]
+        pairs = K.henze_zirkler_pairs(x[low], n[low], x[high], n[high], inv, b)
+        return pd.DataFrame([[pairs, K.henze_zirkler_centre(x, n, inv, b)] if key[0] == key[1] else [2 * pairs, 0.0]])
+
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(*xs), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sums = dealt.groupBy(F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high")).applyInPandas(run, "pairs double, centre double")
+    return tuple(sums.agg(F.sum("pairs"), F.sum("centre")).collect()[0])
 
 
 # --- co-imperfection ----------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,24 @@ def test_empty_panel(spark):
     p = masks.missingness(Panel.of(spark.createDataFrame([], "id int, clock timestamp_ntz, a double, b double")))
     for df in (rows.row_statistics(p), gaps.case_gap_metrics(p, gaps.runs(p)), I.case_metrics(I.intervals(p), "id"), rows.case_metrics(p), values.case_metrics(p), features.FeatureGenerator(p).generate_all_features().df, values.correlation_pairwise(p)):
         assert df.where(F.lit(True)).count() in (0, 2)
+
+
+def test_multivariate_normality_of_all_rows(spark):
+    """6,000 complete rows, some equal, in one block and in several, against the sum over all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 2)).round(2) + rng.exponential(size=(6000, 1)).round(1)
+    x[:500] = x[0]
+    z = x - x.mean(axis=0)
+    inv, n, d = np.linalg.inv(z.T @ z / len(z)), len(z), 2
+    b2 = (1 / np.sqrt(2) * ((2 * d + 1) / 4) ** (1 / (d + 4)) * n ** (1 / (d + 4))) ** 2
+    pairs = sum(np.exp(-b2 / 2 * np.einsum("ij,jk,ik->i", z - r, inv, z - r)).sum() for r in z)
+    hz = pairs / n - 2 * np.exp(-b2 / (2 * (1 + b2)) * np.einsum("ij,jk,ik->i", z, inv, z)).sum() / (1 + b2) + n / (1 + 2 * b2)
+    p = Panel.of(spark.createDataFrame([(i % 7, i, *map(float, r)) for i, r in enumerate(x)] + [(1, 9999, N, 1.0)], "id int, clock int, u double, v double"))
+    for block in (C.BLOCK_ROWS, 1000):
+        C.BLOCK_ROWS, old = block, C.BLOCK_ROWS
+        r = C.multivariate_normality(p).collect()[0]
+        C.BLOCK_ROWS = old
+        assert r["n"] == n and not r["normal"]
+        near(r["hz"], hz, 1e-6 * hz)
+    same = Panel.of(p.df.select("id", "clock", "u", F.col("u").alias("w")))
+    assert C.multivariate_normality(same).collect()[0]["hz"] == 4.0 * n
