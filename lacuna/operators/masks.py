@@ -126,8 +126,12 @@ def mask_frame(p: Panel) -> DataFrame:
     return p.df.select(*p.keys, *(p.mask(c).alias(c) for c in p.cols))
 
 
-def mask_matrix(p: Panel, steps: int, variable: str | None = None) -> DataFrame:
-    """One row per id (and variable), columns 1 … steps by clock_no: for display, so its width is stated."""
-    long = p.long([variable] if variable else None).where(F.col(p.clock_no) <= steps)
+def mask_matrix(p: Panel, steps: int | None = None, variable: str | None = None) -> DataFrame:
+    """One row per id (and variable), columns 1 … steps by clock_no; as many as the longest id has, unless a width for display is stated."""
+    long = p.long([variable] if variable else None)
+    if steps is None:
+        steps = p.df.agg(F.max(p.clock_no)).collect()[0][0] or 0
+    else:
+        long = long.where(F.col(p.clock_no) <= steps)
     keys = [p.id] if variable else [p.id, "variable"]
     return long.groupBy(*keys).pivot(p.clock_no, list(range(1, steps + 1))).agg(F.first("mask"))

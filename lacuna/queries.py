@@ -122,7 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mask_missing_as_flag": _masked(lambda p: masks.plausibility(p, None, missing_as="flag", ranges=RANGES)),
         "mask_missing_as_null": _masked(lambda p: masks.plausibility(p, None, missing_as="null", ranges=RANGES)),
         "mask_long": _q(lambda p: p.long().drop("clock")),
-        "mask_matrix": _q(lambda p: masks.mask_matrix(p, 5)),
+        "mask_matrix": _q(masks.mask_matrix),
         "column_stats": _q(rows.column_statistics),
         "column_stats_per_id": _q(rows.column_statistics_per_id),
         "all_null_rows": _q(rows.all_imperfect_rows),

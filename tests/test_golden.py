@@ -253,3 +253,15 @@ def test_multivariate_normality_of_all_rows(spark):
         near(r["hz"], hz, 1e-6 * hz)
     same = Panel.of(p.df.select("id", "clock", "u", F.col("u").alias("w")))
     assert C.multivariate_normality(same).collect()[0]["hz"] == 4.0 * n
+
+
+def test_mask_matrix_holds_every_step(spark, tmp_path):
+    """The registered query over ids of 3 and 8 events."""
+    from lacuna import queries
+
+    data = [(i, T0 + dt.timedelta(days=k), "error" if k % 3 == 2 else "click", 1.0, '{"k": 1}') for i, n in ((1, 3), (2, 8)) for k in range(n)]
+    spark.createDataFrame(data, "user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.queries()["mask_matrix"](spark, str(tmp_path))
+    assert got.columns == ["id", "variable", *map(str, range(1, 9))]
+    rows = {(r["id"], r["variable"]): list(r)[2:] for r in got.collect()}
+    assert len(rows) == 6 and rows[(1, "hr")] == [0, 0, 1] + [N] * 5 and rows[(2, "bp")] == [0, 0, 1, 0, 0, 1, 0, 0]
