@@ -189,8 +189,8 @@ def _triple(stock: _Stock, j: int, i: int, r: int) -> tuple[int, ...] | None:
     for a in stock.keys[: at + 1]:
         if a < b:
             continue
-        best = stock.largest(min(a, r - a))
-        if best is not None and best > b and (best != a or stock.left[a] > 1):
+        best = stock.largest(min(a if stock.left[a] > 1 else a - 1, r - a))
+        if best is not None and best > b:
             return None
     return (j, i, b)
 

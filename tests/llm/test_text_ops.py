@@ -354,3 +354,8 @@ def test_texts_with_one_crc_are_two_documents(make_docs, spark, doc):
     assert [r["text"] for r in decontam.drop_contaminated(docs, bench).collect()] == [clean]
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(docs).collect())
     assert got == Counter([(doc, 26, 25), (doc, 5, 0), (1, 26, 0)])
+
+
+def test_dominance_looks_beside_a_single_piece():
+    """Beside 100 of 200, (60, 36) does not match (50, 45): 50 is there once, so its best partner is 45."""
+    assert packing.reduce_by_dominance({100: 1, 60: 1, 50: 1, 45: 1, 36: 1}, 200)[0][:1] != [((100, 60, 36), 1)]
