@@ -12,9 +12,12 @@ table gives no rows; extra columns are ignored; texts of any length are cut into
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ from lacuna.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Words that a task keeps with their ids.
-CACHED_WORDS = 700_000
+#: Words of a generation that a worker keeps with their ids (two generations of whole words and two of parts), and the length up to which it keeps one.
+CACHED_WORDS = 250_000
+CACHED_LENGTH = 64
 
 
 class _Unsafe(Exception):
@@ -42,11 +46,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in keep else chr(256 + rest.index(b)) for b in range(256)}
 
 
-class _Bounded(dict):
+class _Recent(dict):
+    """What `make` gives for a key; keys used lately are kept, in two generations of at most CACHED_WORDS."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
     def __missing__(self, key):
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -55,7 +70,7 @@ class TokenBytes:
 
     The pretokenizer's pattern always starts a new word at a single space between other characters, so the
     parts between such spaces can be encoded alone; texts with other runs of white space are cut by the
-    pattern itself. Special tokens' strings count as ordinary text.
+    pattern itself. A text that holds the string of an added token (the end of text, say) goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -63,44 +78,69 @@ class TokenBytes:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.letters = _byte_letters()
-        self.words, self.first, self.parts = _Bounded(), _Bounded(), _Bounded()
-        self.words.make = lambda w: self._chunk(w, " ")
-        self.first.make = lambda w: self._chunk(w, "")
-        self.parts.make = self._part
-
-    def _part(self, w: str) -> bytes:
-        spelled = w.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-
-    def _chunk(self, w: str, before: str) -> bytes:
-        if not w:
-            if before:
-                raise _Unsafe
-            return b""
-        if w[0].isspace() or w[-1].isspace():
-            raise _Unsafe
-        if w.isalpha() and w.isascii():
-            return self._part(before + w)
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(before + w)))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        tokenize, letters, words_of = self.tokenizer.model.tokenize, _byte_letters(), regex.compile(public_tokenizers.PATTERN).findall
+
+        # closures, so that nothing here refers back to self: a cycle would outlive its task
+        def spell(w: str) -> bytes:
+            if w.isascii() and (w.isalpha() or w[0] == " " and w[1:].isalpha()):
+                spelled = w.replace(" ", letters[32])
+            else:
+                spelled = w.encode("utf-8", "replace").decode("latin-1").translate(letters)
+            return pack_ids([t.id for t in tokenize(spelled)])
+
+        parts = _Recent(spell)
+
+        def after(space: str):
+            def chunk(w: str) -> bytes:
+                if w and max(w) < "\u0250":  # letters there are letters to every version of the pattern
+                    if w.isalpha():
+                        return parts[space + w]
+                    if w[:-1].isalpha() and w[-1] in ".,;:!?":
+                        return parts[space + w[:-1]] + parts[w[-1]]
+                if not w:
+                    if space:
+                        raise _Unsafe
+                    return b""
+                if w[0].isspace() or w[-1].isspace():
+                    raise _Unsafe
+                return b"".join(map(parts.__getitem__, words_of(space + w)))
+
+            return chunk
+
+        self.first, self.words, self.parts, self.words_of = _Recent(after("")), _Recent(after(" ")), parts, words_of
 
     def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.split(" ")
         try:
             return self.first[words[0]] + b"".join(map(self.words.__getitem__, words[1:]))
         except _Unsafe:
-            return b"".join(map(self.parts.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.parts.__getitem__, self.words_of(text)))
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+@lru_cache(maxsize=1)
+def token_bytes(path: str) -> TokenBytes:
+    """One for all tasks of a worker, so that its words are kept from task to task, and held once."""
+    return TokenBytes(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, with its rank (nth) among the pieces of its length in its task (part)."""
 
     def run(batches):
-        to_ids = TokenBytes(tokenizer)
+        to_ids = token_bytes(tokenizer)
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = pack_ids([end_id])
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -266,7 +306,8 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
                 sequence[rows], offset[rows] = table[at, 1] + nth[rows] - table[at, 0], table[at, 2]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=[x.split()[0] for x in PLACED.split(", ")])
 
-    joined = pieces.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "before")
+    # both sides grow with the table: no broadcast
+    joined = pieces.join(before.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "before")
     return joined.mapInArrow(run, PLACED)
 
 

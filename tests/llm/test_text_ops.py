@@ -249,10 +249,9 @@ def test_decontamination_of_and_against_nothing(spark, odd, make_docs):
 def test_packing(make_docs, words):
     from tokenizers import Tokenizer
 
-    texts = [None, "", " ", "a  b", "x \n y", " lead", "trail ", "tab\t\tq", "é ü   z", "<|endoftext|> it's 1,234", words(3000, 1), words(10, 2), words(10, 2), "\n\n", "日本語 テキスト", "don't I'LL we've  '''"] + [words(i * 17 % 400, i) for i in range(60)]
+    texts = [None, "", " ", "a  b", "x \n y", " lead", "trail ", "tab\t\tq", "é ü   z", "<|endoftext|> it's 1,234", "<|endoftext|>", "a <|endoftext|> b", "end <|endoftext|>", "<|endoftext|><|endoftext|> x<|endoftext|", "naïve, Straße. ŒUVRE; ªº µ ɐɐ, x" * 2, "w" * 5000, words(3000, 1), words(10, 2), words(10, 2), "\n\n", "日本語 テキスト", "don't I'LL we've  '''"] + [words(i * 17 % 400, i) for i in range(60)]
     got = packing.pack_documents(make_docs(list(enumerate(texts))), queries.tokenizer_path()).collect()
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     by = defaultdict(dict)
     for r in got:
         by[r["doc_id"]][r["piece"]] = (r["start"], r["length"], r["ids_crc32"])
@@ -359,3 +358,49 @@ def test_texts_with_one_crc_are_two_documents(make_docs, spark, doc):
 def test_dominance_looks_beside_a_single_piece():
     """Beside 100 of 200, (60, 36) does not match (50, 45): 50 is there once, so its best partner is 45."""
     assert packing.reduce_by_dominance({100: 1, 60: 1, 50: 1, 45: 1, 36: 1}, 200)[0][:1] != [((100, 60, 36), 1)]
+
+
+def test_a_worker_holds_one_tokenizer():
+    """Two loads of the same vocabulary are one object, without cycles: dropped, it goes at once; its caches stay bounded and exact."""
+    import gc
+    import weakref
+
+    path = queries.tokenizer_path()
+    assert packing.token_bytes(path) is packing.token_bytes(path)
+    gc.disable()
+    try:
+        own = packing.TokenBytes(path)
+        gone = weakref.ref(own.words.make)
+        own("some words, and one more.")
+        del own
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_the_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    own, fresh = packing.TokenBytes(queries.tokenizer_path()), packing.TokenBytes(queries.tokenizer_path())
+    text = " ".join(f"ab{chr(97 + i % 26)}{chr(97 + i % 7)}, cd{i % 11}" for i in range(300)) + " " + "z" * 900
+    assert own(text) == own(text) == np.array(fresh.tokenizer.encode(text).ids, dtype="<u4").tobytes()
+    assert max(len(c) + len(c.older) for c in (own.words, own.first, own.parts)) <= 10
+
+
+def test_dominance_keeps_the_optimum_of_single_pieces():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(4000):
+        capacity = rng.choice([30, 60, 100, 1024])
+        items = [rng.randint(capacity // 8, capacity * 2 // 3) for _ in range(rng.randint(3, 9))]
+        fixed, rest = packing.reduce_by_dominance(dict(Counter(items)), capacity)
+        left = [k for k, v in rest.items() for _ in range(v)]
+        if fixed:
+            assert sum(n for _, n in fixed) + (_optimum(left, capacity) if left else 0) == _optimum(items, capacity), (capacity, items)
+
+
+def test_dominance_of_a_lost_optimum():
+    items = [63, 62, 61, 47, 37, 31, 26, 23, 19, 19]
+    fixed, rest = packing.reduce_by_dominance(dict(Counter(items)), 100)
+    left = [k for k, v in rest.items() for _ in range(v)]
+    assert sum(n for _, n in fixed) + _optimum(left, 100) == 4
