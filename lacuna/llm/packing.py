@@ -30,8 +30,8 @@ from lacuna.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Words of a generation that a worker keeps with their ids (two generations of whole words and two of parts), and the length up to which it keeps one.
-CACHED_WORDS = 250_000
+#: Words of a generation that a worker keeps with their ids (two generations of whole words, and two of half as many parts), and the length up to which it keeps one.
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
 
 
@@ -47,18 +47,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Recent(dict):
-    """What `make` gives for a key; keys used lately are kept, in two generations of at most CACHED_WORDS."""
+    """What `make` gives for a key; keys used lately are kept, in two generations of at most `most`."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -90,7 +90,7 @@ class TokenBytes:
                 spelled = w.encode("utf-8", "replace").decode("latin-1").translate(letters)
             return pack_ids([t.id for t in tokenize(spelled)])
 
-        parts = _Recent(spell)
+        parts = _Recent(spell, CACHED_WORDS // 2)
 
         def after(space: str):
             def chunk(w: str) -> bytes:
@@ -109,7 +109,7 @@ class TokenBytes:
 
             return chunk
 
-        self.first, self.words, self.parts, self.words_of = _Recent(after("")), _Recent(after(" ")), parts, words_of
+        self.first, self.words, self.parts, self.words_of = _Recent(after(""), CACHED_WORDS // 2), _Recent(after(" "), CACHED_WORDS), parts, words_of
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.added):

@@ -19,4 +19,9 @@ def words():
 
     rng = random.Random(7)
     known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 7))) for _ in range(400)]
-    return lambda n, seed: " ".join(random.Random(seed).choice(known) for _ in range(n))
+
+    def line(n, seed):
+        own = random.Random(seed)
+        return " ".join(own.choice(known) for _ in range(n))
+
+    return line

@@ -59,8 +59,48 @@ def test_substrings_in_many_buckets_and_chunks(odd, monkeypatch, spark):
     assert Counter(tuple(r) for r in substrings.drop_repeats(docs).collect()) == whole
 
 
+@pytest.mark.parametrize("level_from", [4, 1])
+def test_full_buckets_are_dealt_again(odd, make_docs, words, monkeypatch, level_from):
+    """A run of words in every window's reach, and one bucket for all: what passes the limit goes to the next levels, copies do not."""
+    import random
+
+    rows = [(i, " ".join(random.Random(i).choice("abcdefgh") * 3 + str(random.Random(i * 7 + k).randint(0, 40)) if k % 9 else "the same four words" for k in range(120))) for i in range(40)]
+    docs = make_docs(odd[0] + rows + [(100 + i, words(60, 1)) for i in range(50)] + [(200 + i, t) for i, t in rows[:5]])
+    whole = Counter(tuple(r) for r in substrings.drop_repeats(docs).collect())
+    levels, split = [], substrings.partitions_for
+    monkeypatch.setattr(substrings, "MOST_BYTES", 20_000)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 5_000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1 << 40)
+    monkeypatch.setattr(substrings, "WHOLE_FROM", level_from)
+    monkeypatch.setattr(substrings, "partitions_for", lambda *a: levels.append(a[1]) or (1 if len(levels) == 1 else split(*a)))
+    assert Counter(tuple(r) for r in substrings.drop_repeats(docs).collect()) == whole
+    assert len(levels) >= 2
+
+
+def test_a_bucket_holds_no_copies(words):
+    """Chunks of one passage, one after the other: the bucket keeps one of each window, gives one row of intervals a chunk, and is never full."""
+    sent = [p for i in range(300) for b, kind, p in substrings._settled([(i, 0, 0, words(400, 3))], 20, 4, 1) if kind == 0]
+    own = substrings._Bucket(0, 0, 20, 4, 20_000)
+    out = [r for p in sent for r in own.add(p)]
+    assert own.size < 20_000 and not own.full
+    out += own.settle(last=True)
+    gone = sorted((d, s, n) for b in out for d, s, n in zip(*(b.column(i).to_pylist() for i in (0, 3, 4))))
+    assert gone == [(i, 0, 381) for i in range(1, 300)]
+
+
+def test_word_hashes_of_long_and_short_words(monkeypatch):
+    monkeypatch.setattr(substrings, "HASHED_BYTES", 64)
+    substrings._powers.cache_clear()
+    raw = b"ab " * 50 + b"x" * 200 + b" ab " + b"y" * 64 + b" " + b"x" * 200 + b" ab"
+    w = substrings.Words(raw, 2, bounds=np.array([0]))
+    own = [raw[i:j] for i, j in zip(w.begin, w.end)]
+    substrings._powers.cache_clear()
+    assert own == raw.split()
+    assert len(set(zip(own, w.hashed.tolist()))) == len(set(own)) == len(set(w.hashed.tolist()))
+
+
 def test_substrings_survive_hash_collisions():
-    w = substrings.Words([b"a", b"b", b"c", b"a", b"b", b"d"], np.array([6]), 2)
+    w = substrings.Words(b" a b\tc\n\na b d ", 2, sizes=np.array([6]))
     w.rolled = lambda k: np.zeros(6, np.uint64)
     assert substrings.repeated(w, (w.start, w.owner * 0, w.owner), 2).tolist() == [False, False, False, True, False]
 
