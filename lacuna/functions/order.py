@@ -36,12 +36,13 @@ def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ordered_counts(df, keys, value).select(*keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"), "n", "of")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """keys and one column per name: exact quantiles with linear interpolation."""
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], nearest: bool = False) -> DataFrame:
+    """keys and one column per name: exact quantiles with linear interpolation, or the element at round-half-up((n - 1) q)."""
     o = ordered_counts(df, keys, value)
     aggs = []
     for name, p in probs.items():
         at = (F.col("of") - 1) * F.lit(float(p))
+        at = F.floor(at + 0.5) if nearest else at
         lo, hi = F.floor(at), F.ceil(at)
         end = F.col("below") + F.col("n")
         a = F.max(F.when((F.col("below") <= lo) & (lo < end), F.col(value).cast("double")))

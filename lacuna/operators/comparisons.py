@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import kernels as K
 from lacuna.functions.expr import ratio
-from lacuna.functions.order import average_ranks, ordered_counts
+from lacuna.functions.order import average_ranks, ordered_counts, quantiles
 from lacuna.operators.panel import Panel
-from lacuna.operators.rows import patterns
 from lacuna.sources.store import stored
 
 #: Distinct rows of a block in the normality test.
@@ -83,12 +82,13 @@ def kruskal_wallis(df: DataFrame, keys: list[str], value: str, group: str) -> Da
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], out: str = "q_value") -> DataFrame:
-    """q-values within each family; nulls stay. A family holds one row per test, not per case."""
+    """q-values within each family; nulls stay, equal p-values get equal q-values. A family holds one row per test, not per case."""
     ok = F.col(p).isNotNull()
     m = F.count(p).over(W.partitionBy(*family))
-    rank = F.row_number().over(W.partitionBy(*family, ok).orderBy(p))
-    df = df.withColumn("_r", F.when(ok, F.col(p) * m / rank))
-    q = F.least(F.lit(1.0), F.min("_r").over(W.partitionBy(*family, ok).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)))
+    # frames by range: with its peers
+    rank = F.count(p).over(W.partitionBy(*family, ok).orderBy(p).rangeBetween(W.unboundedPreceding, 0))
+    df = df.withColumn("_r", F.when(ok, F.col(p) * m / F.nullif(rank, F.lit(0))))
+    q = F.least(F.lit(1.0), F.min("_r").over(W.partitionBy(*family, ok).orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)))
     return df.withColumn(out, F.when(ok, q)).drop("_r")
 
 
@@ -180,15 +180,15 @@ def chi2_pairs(p: Panel) -> DataFrame:
 def rank_biserial_by_lag(p: Panel, lags: int = 10) -> DataFrame:
     """x, y, lag, n1, n0, rank_biserial: y's observed values against x's mask `lag` observed rows earlier, for all ordered pairs."""
     parts = []
-    for b in p.cols:
-        if not p.is_numeric(b):
+    for b in filter(p.is_numeric, p.cols):  # one sort for all x and lags of a y
+        moved = [
+            F.struct(F.lit(a).alias("x"), F.lit(k).alias("lag"), (F.lag(p.mask(a).cast("int"), k) if k >= 0 else F.lead(p.mask(a).cast("int"), -k)).over(p.w).alias("m"))
+            for a in p.cols if a != b for k in range(-lags, lags + 1)
+        ]
+        if not moved:
             continue
-        seen = p.df.where(F.col(b).isNotNull())
-        for a in p.cols:
-            if a == b:
-                continue
-            moved = [F.struct(F.lit(k).alias("lag"), (F.lag(p.mask(a).cast("int"), k) if k >= 0 else F.lead(p.mask(a).cast("int"), -k)).over(p.w).alias("m")) for k in range(-lags, lags + 1)]
-            parts.append(seen.select(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(b).cast("double").alias("v"), F.array(*moved).alias("s")).select("x", "y", "v", F.explode("s").alias("s")).select("x", "y", "v", "s.lag", (F.col("s.m") == 1).alias("first")))
+        seen = p.df.where(F.col(b).isNotNull()).select(F.col(b).cast("double").alias("v"), F.array(*moved).alias("s"))
+        parts.append(seen.select("v", F.explode("s").alias("s")).select("s.x", F.lit(b).alias("y"), "v", "s.lag", (F.col("s.m") == 1).alias("first")))
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
@@ -206,11 +206,14 @@ def asymmetric_matrix(p: Panel, lags: int = 10) -> DataFrame:
 
 
 def asymmetric_comparison(p: Panel) -> DataFrame:
-    """x, y: y's values where x is imperfect against where it is not: counts, observed counts, Mann-Whitney."""
+    """x, y: y's values where x is imperfect against where it is not: counts, observed counts, Mann-Whitney, and both sides described (mean, sd, quartiles)."""
     each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (p.mask(a) == 1).alias("first"), F.col(b).cast("double").alias("v")) for a in p.cols for b in p.cols if a != b and p.is_numeric(b)]
     rows = p.df.select(F.explode(F.array(*each)).alias("s")).select("s.*").where("first is not null")
     n = rows.groupBy("x", "y").agg(F.count_if("first").alias("n_imperfect"), F.count_if(F.col("first") & F.col("v").isNotNull()).alias("n_imperfect_observed"))
-    return n.join(mann_whitney(rows, ["x", "y"], "v", "first"), ["x", "y"], "left")
+    sides, v = ["x", "y", "first"], F.col("v")
+    told = rows.groupBy(*sides).agg(F.stddev_samp(v).alias("sd")).join(quantiles(rows, sides, "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}), sides, "left")
+    wide = told.groupBy("x", "y").agg(*(F.max(F.when(F.col("first") == (i == 1), F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("sd", "q25", "median", "q75")))
+    return n.join(mann_whitney(rows, ["x", "y"], "v", "first"), ["x", "y"], "left").join(wide, ["x", "y"], "left")
 
 
 def little_mcar(p: Panel) -> DataFrame:
@@ -230,10 +233,6 @@ def little_mcar(p: Panel) -> DataFrame:
     return p.df.sparkSession.createDataFrame([(float(r["statistic"]), int(r["df"]), r["p_value"], r["phi"], r["cramers_v"], int(r["n_patterns"]), int(mom["n"]))], "statistic double, df long, p_value double, phi double, cramers_v double, n_patterns long, n_complete long")
 
 
-def mcar_patterns(p: Panel) -> DataFrame:
-    return patterns(p)
-
-
 # --- missing at random, or not ------------------------------------------------------------------
 
 #: Normal ranges of vital signs (fixed values).
@@ -256,9 +255,12 @@ def impute(df: DataFrame, p: Panel, cols: list[str], strategy: str = "mean") ->
         return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
     if strategy == "ffill_within_id":
         df = df.withColumns({c: F.last(c, True).over(p.w) for c in cols})
-    stat = F.median if strategy == "median" else F.avg
-    fill = df.agg(*(stat(c).cast("double").alias(c) for c in cols)).collect()[0]  # one row
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c] if fill[c] is not None else 0.0)) for c in cols})
+    if strategy == "median":
+        long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols))).alias("s")).select("s.*")
+        fill = {r["c"]: r["m"] for r in quantiles(long, ["c"], "v", {"m": 0.5}).collect()}  # one row a column
+    else:
+        fill = df.agg(*(F.avg(c).cast("double").alias(c) for c in cols)).collect()[0].asDict()  # one row
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(fill.get(c) or 0.0))) for c in cols})
 
 
 def mar_mnar(p: Panel, strategy: str = "mean", standardize: bool = True, ranges: dict[str, tuple[float, float]] = NORMAL_RANGES, c: float = 1e6) -> DataFrame:
@@ -300,8 +302,6 @@ def mar_mnar(p: Panel, strategy: str = "mean", standardize: bool = True, ranges:
 
 def missing_rate_by_lag(p: Panel, c: str, parts: int = 10) -> DataFrame:
     """Deciles of the previous value (equal edges merged): n, missing rate and its normal 95 % interval within [0, 1]."""
-    from lacuna.functions.order import quantiles
-
     rows = p.df.select(F.lag(c).over(p.w).cast("double").alias("v"), F.col(c).isNull().cast("double").alias("m")).where("v is not null")
     edges = quantiles(rows, [], "v", {f"e{i:02d}": i / parts for i in range(1, parts)})
     cuts = edges.select(F.array_distinct(F.array(*(f"e{i:02d}" for i in range(1, parts)))).alias("cuts"))

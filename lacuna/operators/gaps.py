@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lacuna.functions.expr import burstiness, nearest_quantile, ratio
+from lacuna.functions.expr import burstiness, ratio
+from lacuna.functions.order import quantiles
 from lacuna.operators import intervals as I
 from lacuna.operators.panel import Panel
 
@@ -52,7 +53,9 @@ def gap_returns(r: DataFrame, id_col: str) -> DataFrame:
 def return_bins(r: DataFrame, edges: int = 8) -> DataFrame:
     """Runs with their bin of time_length: (lo, hi] between distinct octiles (nearest element) over all runs of the variable; bin 0 lies below the first."""
     own = r.where("time_length is not null and return_value is not null")
-    cuts = r.where("time_length is not null").groupBy("variable").agg(F.array_sort(F.array_distinct(F.array(*(nearest_quantile(F.col("time_length"), i / edges) for i in range(1, edges))))).alias("_cuts"))
+    names = [f"_e{i}" for i in range(1, edges)]
+    kind = r.schema["time_length"].dataType
+    cuts = quantiles(r, ["variable"], "time_length", {n: i / edges for i, n in enumerate(names, 1)}, nearest=True).select("variable", F.array_sort(F.array_distinct(F.array(*(F.col(n).cast(kind) for n in names)))).alias("_cuts"))
     joined = own.join(cuts, "variable")
     at = F.size(F.filter("_cuts", lambda c: c < F.col("time_length")))
     lo, hi = F.when(at == 0, F.lit("-inf")).otherwise(F.get("_cuts", at - 1).cast("string")), F.coalesce(F.get("_cuts", at).cast("string"), F.lit("inf"))
@@ -60,8 +63,9 @@ def return_bins(r: DataFrame, edges: int = 8) -> DataFrame:
 
 
 def return_bin_statistics(r: DataFrame, edges: int = 8) -> DataFrame:
-    v = F.col("return_value")
-    return return_bins(r, edges).groupBy("variable", "bin", "label").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    v, keys, rows = F.col("return_value"), ["variable", "bin", "label"], return_bins(r, edges)
+    told = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return told.join(quantiles(rows, keys, "return_value", {"median": 0.5}), keys, "left").select(*keys, "n", "mean", "sd", "median", "min", "max")
 
 
 def case_gap_metrics(p: Panel, r: DataFrame, size: float = I.BIN_SECONDS, tolerance: float = I.TOLERANCE, least_onset: int = 3) -> DataFrame:

@@ -70,7 +70,7 @@ def dominant_frequency(iv: DataFrame, size: float = BIN_SECONDS, tolerance: floa
     keys = list(keys)
     shape = _shape(bins(iv, size, keys, x), keys, SMALLEST)
     rows = iv.where(F.col(x).isNotNull()).select(*keys, x)
-    joined = rows.join(F.broadcast(shape), keys) if keys else rows.crossJoin(F.broadcast(shape))  # one row per key, and keys are variables
+    joined = rows.join(shape, keys) if keys else rows.crossJoin(F.broadcast(shape))  # one row
     m = F.col("mode") * size
     g = joined.groupBy(*keys) if keys else joined.groupBy()
     out = g.agg(

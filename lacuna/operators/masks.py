@@ -75,7 +75,7 @@ def bounds(p: Panel, method: str, threshold: float, scope: str, ranges=None, by:
     """Columns {c}_lo and {c}_hi, one row for all, or one per id (or per value of `by`)."""
     keys = list(by) + ([p.id] if scope == "per_id" else [])
     cols = [c for c in p.cols if _numeric(p, c)]
-    long = p.df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("v"), _clean(p, c, ranges).alias("x")) for c in cols))).alias("s")).select(*keys, "s.v", "s.x").where("x is not null")
+    long = p.df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("v"), _clean(p, c, ranges).alias("x")) for c in cols))).alias("s")).select(*keys, "s.v", "s.x").where("x is not null and not isnan(x)")
 
     def middle(df: DataFrame, probs: dict[str, float], x: str) -> DataFrame:
         if scope == "per_id":

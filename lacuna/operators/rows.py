@@ -64,7 +64,8 @@ def case_metrics(p: Panel) -> DataFrame:
     d, masks = len(p.cols), {c: F.coalesce(p.mask(c).cast("int"), F.lit(0)) for c in p.cols}
     s = total(list(masks.values()))
     aggs = [
-        F.avg(s * 100 / d).alias("avg_indicated_pct"), F.avg(F.when(s > 0, s * 100 / d)).alias("co_concentration"),
+        # from whole sums: an average of quotients would depend on the order of the rows
+        (F.sum(s) * 100 / (F.count(F.lit(1)) * d)).alias("avg_indicated_pct"), ratio(F.sum(s) * 100, F.count_if(s > 0) * d).alias("co_concentration"),
         (total([F.max(m) for m in masks.values()]) / d).alias("breadth"),
     ]
     overlap = F.lit(None).cast("double")

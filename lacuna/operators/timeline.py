@@ -42,7 +42,7 @@ def acf(df: DataFrame, id_col: str, order: list[str], x: str, lags: int = 20, ke
     stats = (df.groupBy(*keys) if keys else df.groupBy()).agg(F.avg(v).alias("_m"), F.var_samp(v).alias("_v"))
     w = W.partitionBy(*keys, id_col).orderBy(*order)
     lagged = df.select(*keys, v.alias("_x"), *(F.lag(v, k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)))
-    joined = lagged.join(F.broadcast(stats), keys) if keys else lagged.crossJoin(F.broadcast(stats))  # one row per variable
+    joined = lagged.join(stats, keys) if keys else lagged.crossJoin(F.broadcast(stats))  # one row
     aggs = []
     for k in range(1, lags + 1):
         both = F.col("_x").isNotNull() & F.col(f"_l{k}").isNotNull()

@@ -13,7 +13,8 @@ from lacuna.functions.order import average_ranks, quantiles
 from lacuna.operators.panel import Panel
 from lacuna.operators.timeline import _correlation
 
-DIGITS = 9
+#: Decimal digits in which values are compared for rank correlations.
+DIGITS = 12
 UNIT_SECONDS = {"second": 1, "minute": 60, "half-hour": 1800, "hour": 3600, "day": 86400}
 
 
@@ -37,13 +38,19 @@ def correlation_listwise(p: Panel) -> DataFrame:
     return _mirrored(rows.agg(F.explode(F.array(*each)).alias("s")).select("s.*"), "correlation")
 
 
+def leading(v: Column, digits: int = DIGITS) -> Column:
+    """v with its leading decimal digits only (below 1e-250 all of it)."""
+    up = F.pow(F.lit(10.0), (digits - 1 - F.floor(F.log10(F.abs(v)))).cast("double"))
+    return F.when((F.abs(v) < 1e-250) | F.isnan(v) | (F.abs(v) == float("inf")), v + F.lit(0.0)).otherwise(F.rint(v * up) / F.nullif(up, F.lit(0.0)))
+
+
 def spearman(pairs: DataFrame, keys: list[str], x: str = "vx", y: str = "vy") -> DataFrame:
     """keys, n, correlation: average ranks over the complete pairs of each key, then Pearson; null if a side is constant or n < 3.
 
-    Values that agree to DIGITS decimals tie, so that sums taken in another order do not change ranks.
+    Values that agree in their DIGITS leading decimal digits tie, whatever their scale, so that sums taken in another order do not change ranks.
     """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    rows = pairs.select(*keys, F.round(F.col(x).cast("double"), DIGITS).alias("vx"), F.round(F.col(y).cast("double"), DIGITS).alias("vy")).where(ok("vx") & ok("vy"))
+    rows = pairs.select(*keys, leading(F.col(x).cast("double")).alias("vx"), leading(F.col(y).cast("double")).alias("vy")).where(ok("vx") & ok("vy"))
     rx = average_ranks(rows, keys, "vx").select(*keys, "vx", F.col("rank").alias("rx"))
     ry = average_ranks(rows, keys, "vy").select(*keys, "vy", F.col("rank").alias("ry"))
     counted = rows.groupBy(*keys, "vx", "vy").agg(F.count(F.lit(1)).alias("c"))  # equal pairs once

@@ -57,6 +57,12 @@ def burst(x: str, least: int) -> str:
     return f"CASE WHEN count({x}) >= {least} THEN {div(f'stddev_samp({x}) - avg({x})', f'stddev_samp({x}) + avg({x})')} END"
 
 
+def erfc(x: str) -> str:
+    """The complementary error function of x >= 0, from the series of the error function; below 1e-8 it is 0 to the digits compared."""
+    term = "exp(2 * n * ln(2.0) + lgamma(n + 1) + (2 * n + 1) * ln(z) - lgamma(2 * n + 2))"
+    return f"list_transform([{x}], lambda z: CASE WHEN z < 1e-12 THEN 1.0 WHEN z > 4.2 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 120), lambda n: {term})) END)[1]"
+
+
 def _mask_query(exprs: dict[str, str], ctes: str = "", tail: str = "p") -> str:
     cols = ", ".join(f"CAST({exprs[c]} AS BIGINT) AS {c}" for c in COLS)
     return _sql(f"SELECT id, clock, clock_no, {cols} FROM {tail}", *([ctes] if ctes else []))
@@ -124,7 +130,7 @@ case_irr AS (SELECT id, {div('stddev_samp(s)', 'avg(s)')} AS interval_cv, {div(n
 _S = "hr_mask + bp_mask + k3_mask"
 _CASE_INTER = """pat AS (SELECT id, hr_mask, bp_mask, k3_mask, count(*) AS c FROM p WHERE hr_mask + bp_mask + k3_mask > 0 GROUP BY ALL),
 pe AS (SELECT id, CASE WHEN count(*) = 1 THEN 0 ELSE list_sum(list_sort(list(-(c / n) * log2(c / n)))) / log2(count(*)) END AS pattern_entropy FROM (SELECT *, sum(c) OVER (PARTITION BY id) AS n FROM pat) GROUP BY id),
-case_inter AS (SELECT id, avg((hr_mask + bp_mask + k3_mask) * 100 / 3.0) AS avg_indicated_pct, avg(CASE WHEN hr_mask + bp_mask + k3_mask > 0 THEN (hr_mask + bp_mask + k3_mask) * 100 / 3.0 END) AS co_concentration,
+case_inter AS (SELECT id, CAST(sum(hr_mask + bp_mask + k3_mask) * 100 AS DOUBLE) / (count(*) * 3) AS avg_indicated_pct, CAST(sum(hr_mask + bp_mask + k3_mask) * 100 AS DOUBLE) / nullif(count(*) FILTER (WHERE hr_mask + bp_mask + k3_mask > 0) * 3, 0) AS co_concentration,
   (max(hr_mask) + max(bp_mask) + max(k3_mask)) / 3.0 AS breadth, any_value(pattern_entropy) AS pattern_entropy,
   greatest(""" + ", ".join(f"CASE WHEN least(sum({a}_mask), sum({b}_mask)) = 0 THEN 0 ELSE sum({a}_mask * {b}_mask) / least(sum({a}_mask), sum({b}_mask)) END" for a, b in combinations(COLS, 2)) + """) AS max_pair_overlap
   FROM p LEFT JOIN pe USING (id) GROUP BY id)"""
@@ -144,7 +150,8 @@ gap_case AS (SELECT id, variable, coalesce(n_gaps, 0) AS n_gaps, gap_cv, gap_qco
 
 def _spearman(pairs: str, keys: str, extra: str = "") -> str:
     """sp: keys, n, correlation from a CTE with keys, vx, vy."""
-    return f"""ok AS (SELECT * REPLACE (round(vx, 9) AS vx, round(vy, 9) AS vy) FROM {pairs} WHERE vx IS NOT NULL AND vy IS NOT NULL),
+    lead = lambda v: f"CASE WHEN abs({v}) < 1e-250 THEN {v} + 0.0 ELSE round_even({v} * pow(10.0, 11 - floor(log10(abs({v})))), 0) / pow(10.0, 11 - floor(log10(abs({v})))) END"
+    return f"""ok AS (SELECT * REPLACE ({lead('vx')} AS vx, {lead('vy')} AS vy) FROM {pairs} WHERE vx IS NOT NULL AND vy IS NOT NULL),
 rk AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY vx) + (count(*) OVER (PARTITION BY {keys}, vx) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {keys} ORDER BY vy) + (count(*) OVER (PARTITION BY {keys}, vy) - 1) / 2.0 AS ry FROM ok),
 sp AS (SELECT {keys}, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_samp(rx) > 0 AND stddev_samp(ry) > 0 THEN covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) END AS correlation FROM rk GROUP BY {keys})"""
 
@@ -157,7 +164,7 @@ _U = """rk AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY v) + (count(*) O
 _TAIL = "CAST(n AS BIGINT) AS n"
 
 
-def _acf(source: str, x: str, keys: str, lags: int = 5) -> str:
+def _acf(source: str, x: str, keys: str, lags: int = 20) -> str:
     k = f"{keys}, " if keys else ""
     part = f"{keys}, id" if keys else "id"
     stats = f"st AS (SELECT {k}avg({x}) AS m, var_samp({x}) AS v FROM {source} {'GROUP BY ' + keys if keys else ''})"
@@ -195,10 +202,10 @@ def _chi2() -> str:
             off = f"(abs(n{i}{j} - {e}) - least(0.5, abs(n{i}{j} - {e})))"
             terms.append(f"{off} * {off} / nullif({e}, 0)")
     chi = " + ".join(terms)
-    return f"SELECT x, y, n00, n01, n10, n11, {r(chi, 'chi2')}, {r(f'sqrt(({chi}) / (n00 + n01 + n10 + n11))', 'cramers_v')} FROM ({each})"
+    return f"SELECT x, y, n00, n01, n10, n11, {r(chi, 'chi2')}, {r(f'sqrt(({chi}) / (n00 + n01 + n10 + n11))', 'cramers_v')}, {r(erfc(f'sqrt(({chi}) / 2)'), 'p_value')} FROM ({each})"
 
 
-def _xcorr(lags: int = 2) -> str:
+def _xcorr(lags: int = 10) -> str:
     parts = []
     for a, b in permutations(COLS, 2):
         for k in range(-lags, lags + 1):
@@ -207,7 +214,7 @@ def _xcorr(lags: int = 2) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _rank_biserial(lags: int = 2) -> str:
+def _rank_biserial(lags: int = 10) -> str:
     parts = []
     for b in COLS:
         for a in COLS:
@@ -280,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
     out["mask_mad_global"] = _mask_query(_bounded(ranged=True), _mad("", {"hr": "CASE WHEN hr BETWEEN 10 AND 90 THEN hr END", "bp": "CASE WHEN bp <= 95 THEN bp END"}), "p, b")
     out["mask_mad_per_id"] = _mask_query(_bounded(), _mad("GROUP BY ALL", {}), "p LEFT JOIN b ON p.id = b.bid")
     out["mask_long"] = _sql(f"SELECT id, clock_no, variable, CAST(mask AS BIGINT) AS mask, {r('value', 'value')} FROM long")
-    out["mask_matrix"] = _sql("SELECT id, variable, " + ", ".join(f'CAST(any_value(mask) FILTER (WHERE clock_no = {k}) AS BIGINT) AS "{k}"' for k in range(1, 6)) + " FROM long WHERE clock_no <= 5 GROUP BY id, variable")
+    out["mask_matrix"] = _sql("SELECT * FROM (PIVOT (SELECT id, variable, clock_no, CAST(mask AS BIGINT) AS mask FROM long) ON clock_no USING any_value(mask) GROUP BY id, variable)")
     out["column_stats"] = _sql(f"SELECT variable, CAST(sum(mask) AS BIGINT) AS indicated_count, {r('sum(mask) * 100 / count(*)', 'indicated_pct')}, CAST(count(*) - sum(mask) AS BIGINT) AS non_indicated_count FROM long GROUP BY variable")
     out["column_stats_per_id"] = _sql("SELECT id, count(*) AS total_count, " + ", ".join(f"CAST(sum({c}_mask) AS BIGINT) AS {c}_indicated_count, {r(f'sum({c}_mask) * 100 / count(*)', f'{c}_indicated_pct')}, sum({c}_mask) * 100 / count(*) > 5 AS {c}_above_5pct_threshold" for c in COLS) + " FROM p GROUP BY id")
     out["all_null_rows"] = _sql(f"SELECT count(*) FILTER (WHERE {_S} = 3) AS null_rows_count, {r(f'count(*) FILTER (WHERE {_S} = 3) * 100 / count(*)', 'null_rows_pct')} FROM p")
@@ -337,10 +344,10 @@ def oracle_sql() -> dict[str, str]:
     out["event_mask_window"] = _sql(both, ev, f"marked AS (SELECT p.id, p.clock, EXISTS (SELECT 1 FROM ev WHERE ev.id = p.id AND p.clock < et AND epoch_us(et) - epoch_us(p.clock) <= {day}) AS event FROM p)")
     out["event_share"] = _sql(f"SELECT {r('avg(CAST(event AS DOUBLE)) * 100', 'event_pct')}, count(*) FILTER (WHERE event) AS n_event, count(*) AS n FROM marked", ev, f"marked AS (SELECT p.id, p.clock, EXISTS (SELECT 1 FROM ev WHERE ev.id = p.id AND abs(epoch_us(et) - epoch_us(p.clock)) <= {day}) AS event FROM p)")
     out["rank_biserial_lag"] = _sql(f"SELECT x, y, lag, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, {r('rank_biserial', 'rank_biserial')} FROM rbs", _rank_biserial(), _U.format(k="x, y, lag", s="rb"), _RB)
-    out["asymmetric_matrix"] = _sql(f"SELECT x, y, {r('max(abs(rank_biserial))', 'max_abs')} FROM rbs GROUP BY x, y", _rank_biserial(), _U.format(k="x, y, lag", s="rb"), _RB)
+    out["asymmetric_matrix"] = _sql(f"SELECT x, y, {r('arg_max(rank_biserial, struct_pack(c := abs(rank_biserial), k := -lag))', 'max_correlation')}, CAST(arg_max(lag, struct_pack(c := abs(rank_biserial), k := -lag)) AS BIGINT) AS max_lag FROM rbs GROUP BY x, y", _rank_biserial(), _U.format(k="x, y, lag", s="rb"), _RB)
     asym = "f AS (" + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, {a}_mask AS m, CAST({b} AS DOUBLE) AS v FROM p" for a, b in permutations(COLS, 2)) + ")"
     out["asymmetric_comparison"] = _sql(
-        f"SELECT x, y, n_imperfect, n_imperfect_observed, n1, n2, {r('u', 'u')} FROM (SELECT x, y, count(*) FILTER (WHERE m = 1) AS n_imperfect, count(v) FILTER (WHERE m = 1) AS n_imperfect_observed FROM f GROUP BY x, y) LEFT JOIN us USING (x, y)",
+        f"SELECT x, y, n_imperfect, n_imperfect_observed, n1, n2, {r('u', 'u')}, " + ", ".join(r(c + i, c + i) for i in ("1", "2") for c in ("mean", "sd", "q25", "median", "q75")) + f" FROM (SELECT x, y, count(*) FILTER (WHERE m = 1) AS n_imperfect, count(v) FILTER (WHERE m = 1) AS n_imperfect_observed, " + ", ".join(f"{g} FILTER (WHERE m = {2 - i}) AS {c}{i}" for i in (1, 2) for c, g in (("mean", "avg(v)"), ("sd", "stddev_samp(v)"), ("q25", "quantile_cont(v, 0.25)"), ("median", "median(v)"), ("q75", "quantile_cont(v, 0.75)"))) + f" FROM f GROUP BY x, y) LEFT JOIN us USING (x, y)",
         asym, _U.format(k="x, y", s="f"), "us AS (SELECT x, y, CAST(sum(m) AS BIGINT) AS n1, CAST(count(*) - sum(m) AS BIGINT) AS n2, sum(m * rnk) - sum(m) * (sum(m) + 1) / 2 AS u FROM rk GROUP BY x, y)")
     out["case_value_metrics"] = _sql(
         f"SELECT id, variable, {r('avg(value)', 'value_mean')}, {r('min(value)', 'value_min')}, {r('max(value)', 'value_max')}, {r('CASE WHEN count(value) >= 2 THEN quantile_cont(value, 0.75) - quantile_cont(value, 0.25) END', 'value_iqr')}, "
@@ -362,10 +369,10 @@ def oracle_sql() -> dict[str, str]:
         'FROM gr JOIN qs USING (aspect, variable, metric, "group") GROUP BY aspect, variable, metric, "group"',
         _IV, _CASE_IRR, _GROUPED, grouped.format(k=3), 'qs AS (SELECT aspect, variable, metric, "group", quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM gr GROUP BY ALL)')
     out["mwu_u"] = _sql(
-        f"SELECT variable, n1, n2, {r('u', 'u')}, {r('mean1', 'mean1')}, {r('mean2', 'mean2')}, {r('2 * u / (CAST(n1 AS DOUBLE) * n2) - 1', 'rank_biserial')}, {r('(greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (CAST(n1 AS DOUBLE) + n2 - 1))))', 'z')} FROM us JOIN ties USING (variable)",
+        f"SELECT variable, n1, n2, {r('u', 'u')}, {r('mean1', 'mean1')}, {r('mean2', 'mean2')}, {r('2 * u / (CAST(n1 AS DOUBLE) * n2) - 1', 'rank_biserial')}, {r('(greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (CAST(n1 AS DOUBLE) + n2 - 1))))', 'z')}, {r(erfc('greatest(0, greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (CAST(n1 AS DOUBLE) + n2 - 1)))) / sqrt(2.0)'), 'p_value')} FROM us JOIN ties USING (variable)",
         _FIRST, _U.format(k="variable", s="f"), _TIES, "us AS (SELECT variable, CAST(sum(CAST(first AS INT)) AS BIGINT) AS n1, CAST(count(*) - sum(CAST(first AS INT)) AS BIGINT) AS n2, sum(rnk) FILTER (WHERE first) - sum(CAST(first AS INT)) * (sum(CAST(first AS INT)) + 1) / 2 AS u, avg(v) FILTER (WHERE first) AS mean1, avg(v) FILTER (WHERE NOT first) AS mean2 FROM rk GROUP BY variable)")
     out["kw_h"] = _sql(
-        f"SELECT variable, k, CAST(n AS BIGINT) AS n, {r('h', 'h')}, {r('(h - k + 1) / (n - k)', 'eta_squared')} FROM (SELECT variable, count(*) AS k, sum(m) AS n, (12 / (sum(m) * (sum(m) + 1.0)) * sum(rs * rs / m) - 3 * (sum(m) + 1)) / (1 - any_value(tt) / (CAST(sum(m) AS DOUBLE) * sum(m) * sum(m) - sum(m))) AS h FROM (SELECT variable, g, sum(rnk) AS rs, count(*) AS m FROM rk GROUP BY ALL) JOIN ties USING (variable) GROUP BY variable)",
+        f"SELECT variable, k, CAST(n AS BIGINT) AS n, {r('h', 'h')}, {r('(h - k + 1) / (n - k)', 'eta_squared')}, {r('CASE WHEN k = 3 THEN exp(-h / 2) END', 'p_value')} FROM (SELECT variable, count(*) AS k, sum(m) AS n, (12 / (sum(m) * (sum(m) + 1.0)) * sum(rs * rs / m) - 3 * (sum(m) + 1)) / (1 - any_value(tt) / (CAST(sum(m) AS DOUBLE) * sum(m) * sum(m) - sum(m))) AS h FROM (SELECT variable, g, sum(rnk) AS rs, count(*) AS m FROM rk GROUP BY ALL) JOIN ties USING (variable) GROUP BY variable)",
         "f AS (SELECT variable, value AS v, id % 3 AS g FROM long WHERE variable IN ('hr', 'bp'))", _U.format(k="variable", s="f"), _TIES)
     ci = "(d - d * d * d {s} 1.959963984540054 * sqrt(var) * sqrt((1 - d * d) * (1 - d * d) + 3.8414588206941236 * var)) / (1 - d * d + 3.8414588206941236 * var)"
     out["cliffs_delta"] = _sql(

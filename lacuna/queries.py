@@ -74,6 +74,14 @@ def _long_groups(p: Panel, k: int) -> DataFrame:
     return groups.tidy({"preliminary": stored(m, "values"), "irregularity": stored(I.case_metrics(I.intervals(p), "id"), "irregularity")}, "id", p.df.select("id", (F.col("id") % k).cast("string").alias("group")))
 
 
+def _by_level(p: Panel) -> DataFrame:
+    """Per-case metrics grouped by how much of a case's first variable is missing: up to a third, up to a half, more."""
+    share = F.avg(p.masks()[0].cast("double"))
+    level = p.df.groupBy("id").agg(F.when(share <= 1 / 3, "low").when(share <= 0.5, "middle").otherwise("high").alias("group"))
+    frames = {"preliminary": values.case_metrics(p).select("id", "variable", "value_mean"), "intravariable": _case_intra(p).select("id", "variable", "indicated_pct", "indicated_centroid")}
+    return groups.tidy({k: stored(v, k) for k, v in frames.items()}, "id", level)
+
+
 def _first(p: Panel) -> DataFrame:
     return p.long(["hr", "bp"]).withColumn("first", F.col("id") % 2 == 0)
 
@@ -142,7 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interval_entropy_adherence": iv(lambda d: I.entropy_adherence(d, ["id"])),
         "burstiness_case": iv(lambda d: I.burstiness_case(d, "id")),
         "burstiness_global": iv(lambda d: I.burstiness_pooled(d, "id")),
-        "interval_acf": _q(lambda p: timeline.acf(I.intervals(p), "id", ["clock", "clock_no"], "interval_seconds", 5)),
+        "interval_acf": _q(lambda p: timeline.acf(I.intervals(p), "id", ["clock", "clock_no"], "interval_seconds")),
         "gap_runs": run(lambda r: r.drop("return_value")),
         "true_gaps": run(gaps.describe_gaps),
         "gap_case_metrics": _q(lambda p: gaps.case_gap_metrics(p, gaps.runs(p))),
@@ -153,20 +161,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "markov_counts": _q(timeline.transitions),
         "markov_probs": _q(lambda p: timeline.markov(p).select("variable", "p00", "p01", "p10", "p11", "steady0", "steady1")),
         "markov_p11": _q(timeline.persistence_per_case),
-        "acf_mask": _q(lambda p: timeline.acf_masks(p, 5)),
-        "acf_value": _q(lambda p: timeline.acf_values(p, 5)),
-        "xcorr_lagged": _q(lambda p: timeline.lagged_cross_correlation(p, 2)),
+        "acf_mask": _q(lambda p: timeline.acf_masks(p)),
+        "acf_value": _q(lambda p: timeline.acf_values(p)),
+        "xcorr_lagged": _q(lambda p: timeline.lagged_cross_correlation(p)),
         "phi_matrix": _q(timeline.phi_matrix),
-        "chi2_pairs": _q(lambda p: C.chi2_pairs(p).drop("p_value")),
+        "chi2_pairs": _q(lambda p: C.chi2_pairs(p)),
         "conditional_obs": _q(lambda p: neighbours.conditional_observations(p, "hr").drop("clock")),
         "near_imperfect": _q(lambda p: neighbours.values_near(p, "hr", 86400).select("id", "clock", "value", F.size("imperfect_times").alias("n_times"))),
         "near_flags": _q(lambda p: neighbours.near_flags(p, 86400).select("id", "clock_no", "hr_near", "bp_near", "k3_near")),
         "event_mask_nearest": _q(lambda p: neighbours.event_mask(replace(p, df=p.df.where("event_type <> 'signup'")), _events(p)).select("id", "clock", "event")),
         "event_mask_window": _q(lambda p: neighbours.event_mask(p, _events(p), 86400, "before").select("id", "clock", "event")),
         "event_share": _q(lambda p: neighbours.event_share(neighbours.event_mask(p, _events(p), 86400, "both", False))),
-        "rank_biserial_lag": _q(lambda p: C.rank_biserial_by_lag(p, 2)),
-        "asymmetric_matrix": _q(lambda p: C.asymmetric_matrix(p, 2).select("x", "y", F.abs("max_correlation").alias("max_abs"))),
-        "asymmetric_comparison": _q(lambda p: C.asymmetric_comparison(p).select("x", "y", "n_imperfect", "n_imperfect_observed", "n1", "n2", "u")),
+        "rank_biserial_lag": _q(lambda p: C.rank_biserial_by_lag(p)),
+        "asymmetric_matrix": _q(lambda p: C.asymmetric_matrix(p).select("x", "y", "max_correlation", "max_lag")),
+        "asymmetric_comparison": _q(lambda p: C.asymmetric_comparison(p).select("x", "y", "n_imperfect", "n_imperfect_observed", "n1", "n2", "u", *(f"{c}{i}" for i in (1, 2) for c in ("mean", "sd", "q25", "median", "q75")))),
         "case_value_metrics": _q(values.case_metrics),
         "case_intra": _q(_case_intra),
         "case_inter": _q(rows.case_metrics),
@@ -177,9 +185,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cross_aspect": _q(_cross),
         "describe_groups": _q(lambda p: groups.describe_groups(_long_groups(p, 3))),
         "compare_groups": _q(lambda p: groups.compare_groups(_long_groups(p, 2)).select("aspect", "variable", "metric", "n_groups", "groups", "n_total", "n_defined", "test", "statistic", "effect_size", "skipped_reason")),
-        "posthoc_groups": _q(lambda p: groups.posthoc(x := _long_groups(p, 3), groups.compare_groups(x, 20, 2.0))),
-        "mwu_u": _q(lambda p: C.mann_whitney(_first(p), ["variable"], "value", "first").drop("p_value")),
-        "kw_h": _q(lambda p: C.kruskal_wallis(p.long(["hr", "bp"]).withColumn("g", F.col("id") % 3), ["variable"], "value", "g").drop("p_value")),
+        "posthoc_groups": _q(lambda p: groups.posthoc(x := _by_level(p), groups.compare_groups(x))),
+        "mwu_u": _q(lambda p: C.mann_whitney(_first(p), ["variable"], "value", "first")),
+        "kw_h": _q(lambda p: C.kruskal_wallis(p.long(["hr", "bp"]).withColumn("g", F.col("id") % 3), ["variable"], "value", "g")),
         "cliffs_delta": _q(lambda p: C.cliffs_delta(_first(p), ["variable"], "value", "first")),
         "hodges_lehmann": _q(lambda p: C.hodges_lehmann(values.case_metrics(p).withColumn("first", F.col("id") % 2 == 0), ["variable"], "value_mean", "first")),
         "bh_qvalues": _q(_bh),

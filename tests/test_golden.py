@@ -265,3 +265,42 @@ def test_mask_matrix_holds_every_step(spark, tmp_path):
     assert got.columns == ["id", "variable", *map(str, range(1, 9))]
     rows = {(r["id"], r["variable"]): list(r)[2:] for r in got.collect()}
     assert len(rows) == 6 and rows[(1, "hr")] == [0, 0, 1] + [N] * 5 and rows[(2, "bp")] == [0, 0, 1, 0, 0, 1, 0, 0]
+
+
+def test_equal_p_values_get_equal_q_values(spark):
+    ps = [0.01, 0.04, 0.04, 0.04, 0.04, 0.5, 0.6, 0.9, N]
+    df = spark.createDataFrame([("a", i, p) for i, p in enumerate(ps)] + [("b", 0, 0.2)], "f string, i int, p double")
+    got = {(r["f"], r["i"]): r["q_value"] for r in C.benjamini_hochberg(df, "p", ["f"]).collect()}
+    for i, q in enumerate([0.064, 0.064, 0.064, 0.064, 0.064, 0.5 * 8 / 6, 0.6 * 8 / 7, 0.9, N]):
+        near(got["a", i], q)
+    near(got["b", 0], 0.2)
+
+
+def test_bounds_pass_over_nan(spark):
+    nan = float("nan")
+    p = Panel.of(spark.createDataFrame([(1, i, x) for i, x in enumerate([1.0, 2.0, 3.0, 4.0, 5.0, nan, nan])], "id int, clock int, v double"))
+    for scope in ("global", "per_id"):
+        b = masks.bounds(p, "iqr", 1.5, scope).collect()[0]
+        near(b["v_lo"], -1.0)
+        near(b["v_hi"], 7.0)
+
+
+def test_spearman_does_not_depend_on_the_scale(spark):
+    for scale in (1e-300, 1e-11, 1.0, 1e200):
+        df = spark.createDataFrame([(i * scale, -((i * 7) % 20) * scale) for i in range(20)], "vx double, vy double")
+        one = values.spearman(df.withColumn("k", F.lit(1)), ["k"]).collect()[0]
+        x, y = np.arange(20), -((np.arange(20) * 7) % 20)
+        near(one["correlation"], float(np.corrcoef(x, np.argsort(np.argsort(y)))[0, 1]))
+
+
+def test_averages_on_a_threshold_do_not_depend_on_row_order(spark):
+    """30 of 100 mask cells in rows of every kind: exactly 30 percent."""
+    data = [(1, i, *(float(k) if k >= n else N for k in range(10))) for i, n in enumerate([3, 1, 5, 7, 0, 2, 4, 6, 1, 1])]
+    p = masks.missingness(Panel.of(spark.createDataFrame(data, "id int, clock int, " + ", ".join(f"v{k} double" for k in range(10)))))
+    assert rows.case_metrics(p).collect()[0]["avg_indicated_pct"] == 30.0
+
+
+def test_median_imputation(spark):
+    p = Panel.of(spark.createDataFrame([(1, i, x, N) for i, x in enumerate([1.0, N, 9.0, 3.0])], "id int, clock int, v double, w double"))
+    got = C.impute(p.df, p, ["v", "w"], "median").orderBy("clock").collect()
+    assert [r["v"] for r in got] == [1.0, 3.0, 9.0, 3.0] and {r["w"] for r in got} == {0.0}
