@@ -1,11 +1,13 @@
 """Main-text extraction from HTML by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score +1 and tags negative; a linear scan finds the contiguous part
-with the largest sum. The tags' scores are learned from labelled pages, those that mark their content with
-<article> or <main>: a tag costs as many words as the log ratio of its rates outside and inside such elements says, and
-at least a little. The part is then widened or narrowed to whole blocks (and to the marked element
-that holds most of it, if there is one), and blocks within menus, headers, footers, sidebars, notices, adverts, forms
-and comments are left out wherever they lie: the scan passes over them, however long they are.
+with the largest sum, and its blocks are the text. Weights are learned from labelled pages, those that mark their content with
+<article> or <main>, which serve as labels only: a tag costs as many words as the log ratio of its rates outside and inside
+says, and at least a little; a word of a class, id or role weighs as the log ratio of the words beneath it, inside and outside.
+
+Boxes that are menus, page headers, footers, sidebars, notices, adverts, forms or comments are left out wherever they lie, and the
+scan passes over them, however long they are: by their tag, or where their class words weigh -1 or less together. Of class words, some are known beforehand (KNOWN);
+compounds go by their last part, or by their first before a word for a container, and has-, with- or no- say nothing of the box itself.
 
 Fitting takes `sample_pages` pages at most, by a hash of the id. Cases: null or empty html and pages without words
 give an empty text; unclosed and stray tags are closed by the next block or end tag that needs it; repeated rows are
@@ -34,49 +36,76 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 CONTENT = frozenset(["article", "main"])
+#: A header within one of these is its own, not the page's.
+SECTIONS = frozenset(["article", "main", "section"])
 AWAY = frozenset("nav header footer aside form button select option dialog menu head svg canvas object audio video label input datalist".split())
-#: Words of class, id or role that mark a box as no part of the content.
-AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|warning|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|"
-    r"comment|comments|commentlist|respond|reply|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|toolbar|search|complementary|contentinfo|note-bar|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: What words of class, id or role weigh beforehand: surely no content, perhaps none, content.
+KNOWN = dict.fromkeys(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored cookie cookies consent gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead "
+    "comment comments commentlist respond replies disqus newsletter subscribe subscription signup login popup modal overlay toolbar complementary contentinfo".split(), -3.0,
+) | dict.fromkeys("promo promotion notice notices notification alert warning side aside reply share sharing social related recommended widget search skip".split(), -1.5) | dict.fromkeys("article post entry content main body story text blog page".split(), 2.0)
+CONTAINERS = frozenset("area bar block box container form inner item items link links list panel row section slot thread unit wrap wrapper zone".split())
+MODIFIERS = frozenset("has with without no not is".split())
+AWAY_FROM, MOST_WEIGHT, SMOOTHING = -1.0, 3.0, 20.0
+
+
+def class_words(value: str) -> list[str]:
+    """The words of a class, id or role that say what a box is."""
+    out = []
+    for x in value.lower().split():
+        parts = [y for y in re.split("[-_]+", x) if y]
+        if not parts or parts[0] in MODIFIERS:
+            continue
+        if x not in KNOWN and parts[-1] in KNOWN:
+            x = parts[-1]
+        elif x not in KNOWN and parts[0] in KNOWN and parts[-1] in CONTAINERS:
+            x = parts[0]
+        out.append(x)
+    return out
+
+
 #: Closing costs of elements that a block's start or end closes.
 CLOSED_BY_BLOCK = frozenset(["p", "li", "dt", "dd", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"])
 DEFAULT_COST, LEAST_COST, MOST_COST = 3.0, 0.05, 60.0
 
 
 class Page:
-    """scores_of: (a tag's name, 0) or ("", words of a piece of text); inside, away: whether the token lies in marked content, and in a box that is left out; blocks: (first token, last token + 1, text, away, content element or -1)."""
+    """scores_of: (a tag's name, 0) or ("", words of a piece of text); inside, away: whether the token lies in marked content, and in a box that is left out; under: class words of the boxes round it; blocks: (first token, last token + 1, text, away)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, weights: dict[str, float] | None = None):
         self.scores_of: list[tuple[str, int]] = []
         self.inside: list[bool] = []
         self.away: list[bool] = []
-        self.blocks: list[tuple[int, int, str, bool, int]] = []
+        self.under: list[tuple[str, ...]] = []
+        self.blocks: list[tuple[int, int, str, bool]] = []
+        self.weights = weights or {}
         self._read(source)
 
+    def _no_content(self, words: list[str]) -> bool:
+        return bool(words) and sum(KNOWN[x] if x in KNOWN else self.weights.get(f".{x}", 0.0) for x in words) <= AWAY_FROM
+
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, bool, int]] = []  # name, away, content element
+        stack: list[tuple[str, bool, bool, tuple[str, ...]]] = []  # name, away, in content, class words
         parts: list[str] = []
-        first, n_content, at, n = 0, 0, 0, len(source)
-        away, content = False, -1
+        first, at, n = 0, 0, len(source)
+        away, content, under = False, False, ()
 
         def flush():
             nonlocal first
             text = " ".join("".join(parts).split())
             if text:
-                self.blocks.append((first, len(self.scores_of), text, away, content))
+                self.blocks.append((first, len(self.scores_of), text, away))
             parts.clear()
             first = len(self.scores_of)
 
         def note(gone: bool):
-            self.inside.append(content >= 0)
+            self.inside.append(content)
             self.away.append(gone)
+            self.under.append(under)
 
         def top():
-            nonlocal away, content
-            away, content = stack[-1][1:] if stack else (False, -1)
+            nonlocal away, content, under
+            away, content, under = stack[-1][1:] if stack else (False, False, ())
 
         def close(name: str) -> None:
             for k in range(len(stack) - 1, -1, -1):
@@ -127,41 +156,49 @@ class Page:
                 top()
             if (block or name in AWAY) and name not in VOID and not attributes.rstrip().endswith("/"):
                 named = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTES.findall(attributes)} if attributes.strip() else {}
-                gone = away or name in AWAY or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-                if name not in ("html", "body", *CONTENT):
-                    gone = gone or any(AWAY_NAMES.search(named[k]) for k in ("class", "id", "role") if k in named)
-                if name in CONTENT and not away:
-                    n_content += 1
-                    content = n_content
-                away = gone
-                stack.append((name, away, content))
+                gone = away or (name in AWAY and not (name == "header" and any(x[0] in SECTIONS for x in stack))) or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+                words = [x for k in ("class", "id", "role") if k in named for x in class_words(named[k])] if name not in ("html", "body", *CONTENT) else []
+                away = gone or self._no_content(words)
+                content = content or (name in CONTENT and not away)
+                under = (*under, *words)
+                stack.append((name, away, content, under))
             note(away)
             if block:
                 first = len(self.scores_of) - 1
         flush()
 
     def counts(self) -> tuple[Counter, Counter]:
-        """Tags and words ("") inside and outside of marked content."""
+        """Tags, words ("") and words beneath class words (".name") inside and outside of marked content."""
         out = Counter(), Counter()
-        for (name, words), inside in zip(self.scores_of, self.inside):
-            out[not inside][name] += words or 1
+        for (name, words), inside, under in zip(self.scores_of, self.inside, self.under):
+            own = out[not inside]
+            own[name] += words or 1
+            if words:
+                for x in set(under):
+                    own[f".{x}"] += words
         return out
 
 
 def learn_costs(pages: list[Page]) -> dict[str, float]:
-    """What each tag costs, in words."""
+    """What each tag costs, in words, and what each class word (".name") weighs."""
     inside, outside = Counter(), Counter()
     for page in pages:
         if any(page.inside):
             a, b = page.counts()
             inside += a
             outside += b
-    n_in, n_out = sum(inside.values()), sum(outside.values())
+    tags = {x for x in {*inside, *outside} if x and x[0] != "."}
+    n_in, n_out = (c[""] + sum(c[x] for x in tags) for c in (inside, outside))
     if not n_in or not n_out:
         return {}
     rate = lambda c, n, x: (c[x] + 0.5) / (n + 1)
     unit = max(0.1, float(np.log(rate(inside, n_in, "") / rate(outside, n_out, ""))))
-    return {x: float(np.clip(np.log(rate(outside, n_out, x) / rate(inside, n_in, x)) / unit * 4, LEAST_COST, MOST_COST)) for x in {*inside, *outside} if x}
+    costs = {x: float(np.clip(np.log(rate(outside, n_out, x) / rate(inside, n_in, x)) / unit * 4, LEAST_COST, MOST_COST)) for x in tags}
+    share = inside[""] / (inside[""] + outside[""])
+    weigh = lambda a, b: float(np.clip(np.log((a + SMOOTHING * share) * (1 - share) / ((b + SMOOTHING * (1 - share)) * share)), -MOST_WEIGHT, MOST_WEIGHT))
+    if 0 < share < 1:
+        costs |= {x: weigh(inside[x], outside[x]) for x in {*inside, *outside} if x[:1] == "."}
+    return costs
 
 
 def best_region(page: Page, costs: dict[str, float]) -> tuple[int, int]:
@@ -179,20 +216,9 @@ def best_region(page: Page, costs: dict[str, float]) -> tuple[int, int]:
 
 
 def extract(source: str | None, costs: dict[str, float]) -> str:
-    page = Page(source or "")
+    page = Page(source or "", costs)
     i, j = best_region(page, costs)
-    size = lambda b: min(j, b[1]) - max(i, b[0])
-    kept = [b for b in page.blocks if not b[3]]
-    hit = [b for b in kept if size(b) > 0] or kept
-    weight = Counter()
-    for b in hit:
-        weight[b[4]] += len(b[2])
-    marked = max((x for x in weight if x >= 0), key=lambda x: weight[x], default=-1)
-    if marked >= 0 and 2 * weight[marked] >= sum(weight.values()):
-        chosen = [b for b in kept if b[4] == marked]
-    else:
-        chosen = hit
-    return "\n\n".join(b[2] for b in chosen)
+    return "\n\n".join(text for first, last, text, away in page.blocks if not away and min(j, last) > max(i, first))
 
 
 def fit_costs(pages: DataFrame, sample_pages: int = 400, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:

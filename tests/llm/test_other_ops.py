@@ -223,3 +223,41 @@ def test_pipeline_matches_its_stages(spark, tmp_path):
     for r in got:
         seqs[r["sequence_id"]] += r["length"]
     assert max(seqs.values()) <= 1024
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<body class="has-sidebar"><div class="main has-sidebar"><p>A text of a few words.</p></div></body>', "A text of a few words."),
+    ('<div class="post social"><p>On social life.</p></div><div class="social-links"><a>x</a> y</div>', "On social life."),
+    ("<header><h1>The site</h1></header><article><header><h1>Title</h1></header><p>Words of it.</p></article>", "Title\n\nWords of it."),
+    ('<div id="content"><p>One two three.</p></div><div id="comment-list"><p>I say ' + "so " * 300 + "</p></div>", "One two three."),
+    ('<p>One two three.</p><div class="ad-slot">Buy ' + "now " * 300 + '</div><p>Four five.</p><div class="no-ads"><p>Six.</p></div>', "One two three.\n\nFour five.\n\nSix."),
+])
+def test_html_boxes_by_their_class_words(page, text):
+    assert html.extract(page, {"h1": 0.05, "p": 0.05, "header": 0.2, "div": 0.2}) == text
+
+
+def test_html_class_words_are_learned():
+    pages = [f'<div class="zz{i % 2}">these are {i} words of something else</div><article class="q"><div class="yy"><p>' + "main words " * 40 + "</p></div></article>" for i in range(30)]
+    costs = html.learn_costs([html.Page(x) for x in pages])
+    assert costs[".zz0"] < -1 < 0 < costs[".yy"]
+    assert html.extract('<div class="zz1">left out however long ' + "x " * 200 + '</div><div class="yy"><p>Kept words.</p></div>', costs) == "Kept words."
+
+
+def test_html_region_is_the_maximum_of_all():
+    """Against every contiguous part."""
+    rng = np.random.default_rng(9)
+    costs = {"p": 0.5, "li": 3.0, "a": 2.0, "div": 1.0, "ul": 4.0}
+    for _ in range(200):
+        parts = [rng.choice(["<p>", "</p>", "<li>", "<a>", "</a>", "<div>", "</div>", "<ul>", "<div class=ad>"]) if rng.random() < 0.6 else "w " * int(rng.integers(1, 6)) for _ in range(25)]
+        page = html.Page("".join(parts), costs)
+        each = [0.0 if away else words or -costs.get(name, html.DEFAULT_COST) for (name, words), away in zip(page.scores_of, page.away)]
+        best = max((sum(each[i:j]) for i in range(len(each) + 1) for j in range(i, len(each) + 1)), default=0.0)
+        i, j = html.best_region(page, costs)
+        assert abs(sum(each[i:j]) - max(best, 0.0)) < 1e-9
+
+
+def test_html_of_repeated_and_very_long_pages(spark):
+    long = "<article>" + "<p>some words and more</p>" * 60_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", "<p>x y</p>"), (2, "u", "<p>x y</p>")], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["n_chars"]) for r in html.extract_pages(pages, html.fit_costs(pages)).collect())
+    assert got == Counter({(1, 60_000 * 21 - 2): 1, (2, 3): 2})
