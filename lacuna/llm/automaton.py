@@ -2,8 +2,8 @@
 
 The rules' regular expressions (a subset: literals, escapes, classes, groups, alternation, ?, *, +, {m}, {m,}, {m,n}) are parsed to
 an automaton with choices, made deterministic by subset construction over byte classes, minimised by partition
-refinement, and laid out as transition rows of 256 bytes. One pass over a text's UTF-8 bytes tells which rules
-end a match anywhere; only where one does, that rule's own automaton finds the exact spans: leftmost,
+refinement, and laid out as transition rows of 256 bytes. One pass over a text's UTF-8 bytes tells where which rules
+end a match; only round such an end, in the run of bytes that the rule can consume at all, that rule's own automaton finds the exact spans: leftmost,
 not overlapping, longest head and then longest tail, with spans whose checked part is too short dropped.
 
 Cases: null and empty texts have no spans; spans are in code points whatever the script; repeated rows are scanned
@@ -289,20 +289,34 @@ class Scanner:
         self.combined = Automaton([(r.probe or r.head + r.tail, r.any_case) for r in rules], anywhere=True)
         self.start = self.combined.linked()
         self.parts = [(Automaton([(r.head, r.any_case)], False), Automaton([(r.tail, r.any_case)], False)) for r in rules]
+        self.firsts = [[head.moves[0][b] >= 0 or (bool(head.ends[0]) and tail.moves[0][b] >= 0) for b in range(256)] for head, tail in self.parts]
+        self.own_bytes = [[any(row[b] >= 0 for a in both for row in a.moves) for b in range(256)] for both in self.parts]
 
-    def seen(self, data: bytes) -> int:
-        """A bit set of the rules that end a match in data: one pass over the bytes."""
-        row, out = self.start, 0
-        for b in data:
+    def ends(self, data: bytes) -> list[tuple[int, int]]:
+        """(place of a last byte, bit set of the rules that end a match there): one pass over the bytes."""
+        row, out = self.start, []
+        for i, b in enumerate(data):
             row = row[b]
             if row[256]:
-                out |= row[256]
+                out.append((i, row[256]))
         return out
 
-    def spans_of(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        rule, (head, tail) = self.rules[k], self.parts[k]
-        first = [head.moves[0][b] >= 0 or (bool(head.ends[0]) and tail.moves[0][b] >= 0) for b in range(256)]
-        out, i, n = [], 0, len(data)
+    def spans_of(self, k: int, data: bytes, ends: list[int]) -> list[tuple[int, int]]:
+        """The rule's spans, from the runs of its bytes in which it ends."""
+        own, out, done = self.own_bytes[k], [], 0
+        for e in ends:
+            if e < done:
+                continue
+            lo, done = e, e
+            while lo > 0 and own[data[lo - 1]]:
+                lo -= 1
+            while done < len(data) and own[data[done]]:
+                done += 1
+            out += self.spans_within(k, data, lo, done)
+        return out
+
+    def spans_within(self, k: int, data: bytes, i: int, n: int) -> list[tuple[int, int]]:
+        rule, (head, tail), first, out = self.rules[k], self.parts[k], self.firsts[k], []
         while i < n:
             if first[data[i]] and (middle := head.longest(data, i)) >= 0 and (end := tail.longest(data, middle)) > middle:
                 if end - (middle if rule.counted == "tail" else i) >= rule.least:
@@ -315,10 +329,9 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, rule, end) in code points, sorted."""
         data = text.encode("utf-8", "replace")
-        seen, out = self.seen(data), []
-        for k in range(len(self.rules)):
-            if seen >> k & 1:
-                out += [(i, k, j) for i, j in self.spans_of(k, data)]
+        ends, out = self.ends(data), []
+        for k in range(len(self.rules) if ends else 0):
+            out += [(i, k, j) for i, j in self.spans_of(k, data, [i for i, rules in ends if rules >> k & 1])]
         if out and len(data) != len(text):
             out = [(len(data[:i].decode()), k, len(data[:j].decode())) for i, k, j in out]
         return sorted(out)

@@ -444,3 +444,22 @@ def test_dominance_of_a_lost_optimum():
     fixed, rest = packing.reduce_by_dominance(dict(Counter(items)), 100)
     left = [k for k, v in rest.items() for _ in range(v)]
     assert sum(n for _, n in fixed) + _optimum(left, 100) == 4
+
+
+def test_spans_round_the_ends_are_those_of_the_whole_text():
+    import random
+
+    scan, rng = automaton.scanner(automaton.BASE + automaton.ADDED), random.Random(6)
+    parts = ["token", "=", ": ", '"', "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", " ", "\n", "é", ",", "ghp_", "x" * 40, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "passwd", "sk_live_", "deadbeef" * 4, "'", "api_key"]
+    for _ in range(3000):
+        data = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14))).encode()
+        want = sorted((i, k, j) for k in range(len(scan.rules)) for i, j in scan.spans_within(k, data, 0, len(data)))
+        got = sorted((i, k, j) for k in range(len(scan.rules)) for i, j in scan.spans_of(k, data, [i for i, r in scan.ends(data) if r >> k & 1]))
+        assert got == want, data
+
+
+def test_secrets_of_repeated_rows_and_long_texts(make_docs):
+    long = "plain words " * 400_000 + "token = abcdefgh12 " + "a" * 500_000
+    got = Counter(tuple(r) for r in automaton.find_secrets(make_docs([(1, long), (1, long), (2, "token=abcdefgh1")])).select("doc_id", "n_assign", "n_hex", "spans").collect())
+    at = len("plain words ") * 400_000
+    assert got == Counter({(1, 1, 1, f"assign:{at}:{at + 18},hex:{at + 19}:{at + 500_019}"): 2, (2, 1, 0, "assign:0:15"): 1})
