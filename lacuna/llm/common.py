@@ -25,9 +25,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and Spark runs locally, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

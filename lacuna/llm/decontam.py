@@ -6,7 +6,7 @@ WINDOW words or more is found; consecutive windows mostly share their fingerprin
 item's fingerprints agree, the hit is extended: the windows with that fingerprint are compared word by word with the item's.
 Items of fewer words are one window each; documents are searched for every length that such items have.
 
-The benchmark's fingerprints are broadcast if there are at most BROADCAST_ROWS; otherwise both sides are shuffled on the
+The benchmark's windows, with their items, are broadcast if they take at most BROADCAST_BYTES; otherwise both sides are shuffled on the
 fingerprint and the words are fetched by document. Cases: null and wordless texts have no words, hits or items; a null item id is not listed but
 its text is searched for; equal items count each; rows that agree in id and text are one document repeated and get
 equal results; empty tables give no rows, or no hits; extra columns are ignored; texts are read whole.
@@ -22,7 +22,7 @@ from lacuna.llm.common import KEYS, ascii_lower, cut, fresh, row_key
 WINDOW, GRAIN = 10, 4
 #: Java's form of what separates words, before and after A-Z are lower-cased.
 SEPARATORS, SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 #: In repetitive text one fingerprint can stand for any number of windows in a row; such runs are joined again every so many windows,
 #: as a join reaches WINDOW - GRAIN windows on. Twice this less one must not exceed that reach by more than one.
 RESTART = (WINDOW - GRAIN + 2) // 2
@@ -71,7 +71,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     known, _ = cut(known, "benchmark-windows")
     prints = known.where("print is not null").select("print").distinct()
     lengths = [r["n"] for r in known.where("print is null").select("n").distinct().collect()]  # fewer than WINDOW
-    small = known.count() <= BROADCAST_ROWS
+    size = known.agg(F.sum(F.octet_length("line") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x) + 16) + 64).alias("n")).collect()[0]["n"] or 0
+    small = size <= BROADCAST_BYTES
     hold = F.broadcast if small else (lambda df: df)
 
     rows = docs.select(*row_key(id_col, text_col), words_of(F.col(text_col)).alias("words"))
@@ -86,9 +87,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     last = F.least(F.col("at") + (WINDOW - GRAIN), F.size("prints") - 1)
     windows = found.select(*KEYS, "words", "prints", "print", F.explode(F.sequence("at", last)).alias("at")).where("prints[at] = print")
     windows = windows.select(*KEYS, "at", F.lit(WINDOW).alias("n"), _line("words", F.col("at"), WINDOW).alias("line"))
-    for n in lengths:
-        every = F.sequence(F.lit(0), F.size("words") - n)
-        windows = windows.unionByName(rows.where(F.size("words") >= n).select(*KEYS, "words", F.explode(every).alias("at")).select(*KEYS, "at", F.lit(n).alias("n"), _line("words", F.col("at"), n).alias("line")))
+    if lengths:  # one pass over the documents for all of them
+        each = rows.select(*KEYS, "words", F.explode(F.array(*(F.lit(n) for n in sorted(lengths)))).alias("n")).where(F.size("words") >= F.col("n"))
+        each = each.select(*KEYS, "words", "n", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("at"))
+        windows = windows.unionByName(each.select(*KEYS, "at", "n", _line("words", F.col("at"), F.col("n")).alias("line")))
     hits = windows.join(hold(known.select("n", "line", "items")), ["n", "line"])
     return hits.groupBy(*KEYS).agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 

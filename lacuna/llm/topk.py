@@ -6,8 +6,9 @@ threshold. Above 1 the bucket is skipped; near 1 the bucket is pruned by coordin
 agree with it in the query's largest coordinates); below, by length alone. What is left is verified by exact
 products. The first thresholds come from the `seeds` longest candidates, a bounded sample of the table.
 
-Queries and candidates meet block by block: every block of queries with every block of candidates, one task each, and each
-task returns k rows a query. Components are whole numbers floor(scale * x); products are exact (float arithmetic while all
+Queries get their first thresholds before anything meets. Divided by its own length, a threshold is the length that a candidate must
+have at least, its reach: candidates are dealt to blocks of like length (a common length to as many blocks as its rows need), queries to blocks of like
+reach, and only those blocks meet, one task a pair, whose longest candidate is as long as the least reach. Each task returns k rows a query. Components are whole numbers floor(scale * x); products are exact (float arithmetic while all
 sums stay below 2^53, else Python's integers). Cases: vectors that are null or hold null or non-finite components, and rows without id,
 take no part; vectors of another dimension than the query's are no candidates; ties go to the smaller id; a query's own
 rows are those with its id; repeated candidate rows count each, a repeated query is answered once; empty tables give no rows; extra columns are ignored.
@@ -35,11 +36,11 @@ def _valid(col: Column) -> Column:
     return col.isNotNull() & F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
-def vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec, length) of the rows that take part."""
+def vectors(table: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
+    """(id, vec, length) of the rows that take part; length is that of the whole numbers."""
     vec = F.col(vec_col).cast("array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & _valid(F.col("vec")))
-    return rows.withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))
+    return rows.withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x * scale).cast("double"), F.lit(2.0)))))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, scale: float) -> np.ndarray:
@@ -119,31 +120,65 @@ def search(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k
     return best
 
 
+def _position(cuts: Column, x: Column, n: int) -> Column:
+    """How many of the n sorted cuts are at most x, by halving."""
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(max(1, n.bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(cuts, at + step - 1) <= x, F.lit(False)), step).otherwise(0))
+
+
+def dealt(rows: DataFrame, by: str, n: int, size: int, name: str) -> DataFrame:
+    """Adds the column `name`: the number of a block of about `size` rows with like values of `by` (n blocks, about, are rows / size). Equal values are spread by id over as many blocks as they fill."""
+    if n <= 1:
+        return rows.withColumn(name, F.lit(0))
+    cuts = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000))).alias("_cuts"))
+    kept = rows.crossJoin(F.broadcast(cuts)).withColumn("_at", _position(F.col("_cuts"), F.col(by), n)).drop("_cuts")  # one row of fewer than n cuts
+    counts = kept.groupBy("_at").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("_k"))  # at most n rows
+    first = counts.select("_at", "_k", (F.sum("_k").over(W.orderBy("_at")) - F.col("_k")).cast("int").alias("_first"))
+    return kept.join(F.broadcast(first), "_at").withColumn(name, F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).select(*rows.columns, name)
+
+
+def with_reach(asked: DataFrame, seed: list, k: int, scale: float) -> DataFrame:
+    """(id, vec, key, need, reach): need is the score that the k best are known to reach among the seeds (null: none), reach the length a candidate must have for it."""
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in {len(r["vec"]) for r in seed}:
+        own = [r for r in seed if len(r["vec"]) == d]
+        by_dim[d] = np.floor(scale * np.array([r["vec"] for r in own])), np.array([r["id"] for r in own], dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            ids, vec = b.column("id").to_numpy(), b.column("vec")
+            dims = np.diff(vec.offsets.to_numpy())
+            need, reach = np.full(len(ids), -np.inf), np.full(len(ids), 0.0)
+            for d in np.unique(dims):
+                if d == 0 or int(d) not in by_dim:
+                    continue
+                rows = np.flatnonzero(dims == d)
+                q = _matrix(vec.take(pa.array(rows)), scale)
+                need[rows] = search(q, ids[rows], *by_dim[int(d)], k).least
+                length = np.linalg.norm(q, axis=1)
+                reach[rows] = np.where((need[rows] > 0) & (length > 0), need[rows] / np.where(length > 0, length, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(need, mask=~np.isfinite(need)), pa.array(reach)], names=[*b.schema.names, "need", "reach"])
+
+    return asked.mapInArrow(run, "id long, vec array<double>, key long, need double, reach double")
+
+
 def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, seeds: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products. queries: a condition on the id (column `id`)."""
     spark = table.sparkSession
-    rows, _ = cut(vectors(table, id_col, vec_col), "vectors")
-    asked = rows.where(queries).select("id", "vec").distinct()
+    rows, _ = cut(vectors(table, id_col, vec_col, scale), "vectors")
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(queries, 1)).alias("q")).collect()[0]
     n_blocks = max(shuffle_partitions(spark), -(-sizes["n"] // BLOCK))
     q_blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
     seed = rows.orderBy(F.desc("length"), "id").limit(seeds).collect()  # bounded
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for d in {len(r["vec"]) for r in seed}:
-        own = [r for r in seed if len(r["vec"]) == d]
-        by_dim[d] = np.floor(scale * np.array([r["vec"] for r in own])), np.array([r["id"] for r in own], dtype=np.int64)
-    # blocks of like length, of about equal size: cuts at quantiles of the length, and rows of one length spread by id
-    cuts = rows.agg(F.percentile_approx("length", [i / n_blocks for i in range(1, n_blocks)], 10_000)).collect()[0][0] if n_blocks > 1 and sizes["n"] else []
-    cuts = sorted(set(cuts or []))
-    of_length = F.lit(0)
-    for c in cuts:
-        of_length = of_length + F.when(F.col("length") < c, 1).otherwise(0)
-    n_own = len(cuts) + 1
-    spread = max(1, -(-n_blocks // n_own))
-    block = of_length * spread + F.pmod(F.xxhash64("id"), F.lit(spread))
-    cells = rows.select("id", "vec", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"))
-    asked = asked.select("id", "vec", F.xxhash64("id", "vec").alias("key"))
-    asked = asked.select("*", F.pmod("key", F.lit(q_blocks)).cast("int").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(n_own * spread - 1))).alias("block"))
+    asked = rows.where(queries).select("id", "vec").distinct().withColumn("key", F.xxhash64("id", "vec"))
+    asked, _ = cut(dealt(with_reach(asked, seed, k, scale), "reach", q_blocks, QUERY_BLOCK, "q_block"), "queries")
+    own, _ = cut(dealt(rows, "length", n_blocks, max(1, -(-sizes["n"] // n_blocks)), "block"), "candidates")
+    # which blocks meet: at most one row a pair of blocks
+    least = asked.groupBy("q_block").agg(F.min("reach").alias("_least"))
+    most = own.groupBy("block").agg(F.max("length").alias("_most"))
+    pairs, _ = cut(most.join(least, F.col("_most") * (1 + 1e-9) >= F.col("_least")).select("block", "q_block"), "pairs")
+    cells = own.join(pairs.groupBy("block").agg(F.collect_list("q_block").alias("_to")), "block").select("id", "vec", "block", F.explode("_to").alias("q_block"))
+    asked = asked.join(pairs.groupBy("q_block").agg(F.collect_list("block").alias("_to")), "q_block").select("id", "vec", "key", "need", "q_block", F.explode("_to").alias("block"))
 
     def meet(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = [[], [], [], []]
@@ -153,11 +188,8 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, s
             if d == 0 or not own.num_rows:
                 continue
             q, q_ids = _matrix(asked.column("vec"), scale), asked.column("id").to_numpy()
-            least = None
-            if int(d) in by_dim:
-                first = search(q, q_ids, *by_dim[int(d)], k)
-                least = first.least
-            best = search(q, q_ids, _matrix(own.column("vec"), scale), own.column("id").to_numpy(), k, least)
+            need = asked.column("need").to_numpy()
+            best = search(q, q_ids, _matrix(own.column("vec"), scale), own.column("id").to_numpy(), k, np.where(np.isnan(need), -np.inf, need))
             for to, x in zip(found, (q_ids[best.query], asked.column("key").to_numpy()[best.query], best.vec, best.score)):
                 to.append(x)
         return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in found], names=[x.split()[0] for x in FOUND.split(", ")])

@@ -38,6 +38,8 @@ RECORDS_FULL = RECORDS + ", url string, payload binary"
 ARCHIVE_BYTES = 8 << 20
 TRAINED_BYTES = 1 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Bytes of an archive that the reader feeds to a frame at a time.
+FED_BYTES = 8 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -98,14 +100,17 @@ def frames(data: bytes) -> Iterator[bytes]:
     if dictionary[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may itself be compressed
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    at = 8 + size
+    at, view = 8 + size, memoryview(data)
     while at < len(data):
-        one = decompressor.decompressobj()
-        record = one.decompress(memoryview(data)[at:])
+        one, parts = decompressor.decompressobj(), []
+        while not one.eof and at < len(data):  # in slices: what a frame leaves over is copied
+            piece = view[at : at + FED_BYTES]
+            parts.append(one.decompress(piece))
+            at += len(piece)
         if not one.eof:
             raise ValueError("the last frame is cut off")
-        at = len(data) - len(one.unused_data)
-        yield record
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def decode_record(record: bytes) -> dict:

@@ -67,6 +67,20 @@ def test_top_k_matches_brute_force(spark, monkeypatch, seeds):
     assert got == _top(rows)
 
 
+@pytest.mark.parametrize("n_blocks", [7, 40])
+def test_top_k_of_a_common_length(spark, monkeypatch, n_blocks):
+    """Half of the rows are one vector; blocks stay near their size, and no more of them meet than can hold an answer."""
+    monkeypatch.setattr(topk, "BLOCK", 400 // n_blocks)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 0.5]) for i in range(200)] + [(i, (rng.normal(size=4) * 3 ** float(rng.integers(-3, 4))).tolist()) for i in range(200, 400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.top_k(table, F.col("id") % 50 == 0, seeds=16).collect()) == _top(rows)
+    own = topk.vectors(table, "vec_id", "embedding")
+    sizes = [r["count"] for r in topk.dealt(own, "length", n_blocks, 400 // n_blocks, "b").groupBy("b").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 3 * (400 // n_blocks) + 10
+
+
 def test_top_k_of_large_numbers():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [2.0**20, 2.0], [1.0, 1.0]])
     best = topk.search(q, np.array([0]), v, np.array([1, 2, 3]), 2)

@@ -255,9 +255,9 @@ def _contaminated(rows, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_decontamination_matches_brute_force(spark, odd, words, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
     rows, docs = odd
     items = [(3, words(60, 1)[:200]), (11, words(25, 6)), (2, "É é"), (7, None), (8, "..."), (9, words(60, 1)[:200]), (None, words(12, 9))]
     bench = spark.createDataFrame(items, "item_id long, text string")
