@@ -37,7 +37,7 @@ from lacuna.llm.common import KEYS, chunks, cut, mix64, partitions_for, row_key,
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 3 << 20
 #: Of the compression of what is sent.
-LEVEL = 3
+LEVEL = 5
 #: Most partitions; beyond, a partition takes several buckets, sorted, one after the other.
 MOST_PARTITIONS = 50_000
 #: Bytes that a bucket holds before it settles them, into how many a full one is split, and from which level on by whole windows.
