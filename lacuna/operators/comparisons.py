@@ -81,6 +81,63 @@ def kruskal_wallis(df: DataFrame, keys: list[str], value: str, group: str) -> Da
     return out.select(*keys, "k", "n", "h", ratio(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")).alias("eta_squared"), tail("h", "k").alias("p_value"))
 
 
+def t_test(df: DataFrame, keys: list[str], value: str, first: str, confidence: float = 0.95) -> DataFrame:
+    """keys, n1, n2, mean_difference, t, df, p_value, its interval, cohens_d, equal_var: pooled if the standard deviations agree within a relative 1e-5, else Welch's. Null below two values a side or without spread."""
+    v, one = F.col(value).cast("double"), F.col(first)
+    side = lambda agg, c: agg(F.when(c, v))
+    rows = df.where(F.col(value).isNotNull() & one.isNotNull())
+    aggs = [f(side(g, c)).alias(f"{name}{i}") for i, c in ((1, one), (2, ~one)) for name, g, f in (("n", F.count, lambda x: x), ("_m", F.avg, lambda x: x), ("_v", F.var_samp, lambda x: x))]
+    out = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+    n1, n2, v1, v2 = (F.col(c).cast("double") for c in ("n1", "n2", "_v1", "_v2"))
+    ok = (n1 >= 2) & (n2 >= 2)
+    equal = F.abs(F.sqrt(v1) - F.sqrt(v2)) <= 1e-8 + 1e-5 * F.sqrt(v2)
+    pooled, a, b = ratio((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2), v1 / n1, v2 / n2
+    free = F.when(equal, n1 + n2 - 2).otherwise(ratio((a + b) * (a + b), a * a / (n1 - 1) + b * b / (n2 - 1)))
+    se = F.when(equal, F.sqrt(pooled * (1 / n1 + 1 / n2))).otherwise(F.sqrt(a + b))
+    out = out.where(ok).withColumns({"mean_difference": F.col("_m1") - F.col("_m2"), "equal_var": equal, "df": free, "_se": F.nullif(se, F.lit(0.0)), "_sd": F.when(equal, F.sqrt(pooled)).otherwise(F.sqrt((v1 + v2) / 2))})
+    out = out.withColumn("t", F.col("mean_difference") / F.col("_se"))
+    each = lambda f: F.pandas_udf(lambda x, d: pd.Series([None if pd.isna(i) or pd.isna(j) else f(i, j) for i, j in zip(x, d)], dtype="float64"), "double")  # noqa: E731  one row a test
+    reach = each(lambda _, d: K.t_ppf(0.5 + confidence / 2, d))("t", "df") * F.col("_se")
+    told = out.select(*keys, "n1", "n2", "mean_difference", "t", "df", each(lambda t, d: 2 * K.t_sf(abs(t), d))("t", "df").alias("p_value"), (F.col("mean_difference") - reach).alias("low"), (F.col("mean_difference") + reach).alias("high"), ratio(F.col("mean_difference"), F.col("_sd")).alias("cohens_d"), "equal_var")
+    return told
+
+
+def brown_forsythe(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
+    """keys, k, n, w, p_value: equality of spreads by an analysis of variance of the distances from each group's median."""
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    own = [*keys, "_g"]
+    z = rows.join(quantiles(rows, own, "_v", {"_med": 0.5}), own).withColumn("_z", F.abs(F.col("_v") - F.col("_med")))
+    per = z.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.avg("_z").alias("_m"), F.var_pop("_z").alias("_var"))
+    n, k = F.sum("_n").cast("double"), F.count(F.lit(1))
+    mean = F.sum(F.col("_n") * F.col("_m")) / n
+    between = F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - n * mean * mean
+    within = F.sum(F.col("_n") * F.col("_var"))
+    aggs = [k.alias("k"), n.cast("bigint").alias("n"), F.when((k > 1) & (n > k) & (within > 0), (n - k) / F.nullif(k - 1, F.lit(0)) * between / F.nullif(within, F.lit(0.0))).alias("w")]
+    out = per.groupBy(*keys).agg(*aggs) if keys else per.agg(*aggs)
+    tail = F.pandas_udf(lambda w, k, n: pd.Series([None if pd.isna(a) else K.f_sf(a, b - 1, c - b) for a, b, c in zip(w, k, n)], dtype="float64"), "double")  # one row a test
+    return out.withColumn("p_value", tail("w", "k", "n"))
+
+
+def dunn(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
+    """keys, group_a, group_b, z, p_value (Holm): Dunn's test of every pair of groups on the ranks of all; z is positive where group_a ranks higher."""
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    ranks = average_ranks(rows, keys, "_v")
+    per = rows.groupBy(*keys, "_g", "_v").agg(F.count(F.lit(1)).alias("_c")).join(ranks, [*keys, "_v"]).groupBy(*keys, "_g").agg((F.sum(F.col("_c") * F.col("rank")) / F.sum("_c")).alias("_r"), F.sum("_c").alias("_m"))
+    t = F.col("n").cast("double")
+    tie = ranks.groupBy(*keys).agg(F.sum(t * t * t - t).alias("_t"), F.max("of").cast("double").alias("_n"))
+    a, b = (per.select(*keys, F.col("_g").alias(f"group_{x}"), F.col("_r").alias(f"_r{x}"), F.col("_m").alias(f"_m{x}")) for x in "ab")
+    pairs = (a.join(b, keys) if keys else a.crossJoin(b)).where("group_a < group_b")  # one row a group
+    pairs = pairs.join(tie, keys) if keys else pairs.crossJoin(F.broadcast(tie))
+    n = F.col("_n")
+    var = n * (n + 1) / 12 - F.col("_t") / F.nullif(12 * (n - 1), F.lit(0.0))
+    z = F.coalesce((F.col("_ra") - F.col("_rb")) / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0)) * (1 / F.col("_ma") + 1 / F.col("_mb"))), F.lit(0.0)), F.lit(0.0))
+    tail = F.pandas_udf(lambda s: s.map(lambda x: min(1.0, 2 * K.normal_sf(abs(x)))), "double")
+    found = pairs.select(*keys, "group_a", "group_b", z.alias("z")).withColumn("_p", tail("z"))
+    by = W.partitionBy(*keys).orderBy("_p", "group_a", "group_b")
+    step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(W.partitionBy(*keys)) - F.row_number().over(by) + 1) * F.col("_p"))
+    return found.withColumn("_s", step).select(*keys, "group_a", "group_b", "z", F.max("_s").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("p_value"))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], out: str = "q_value") -> DataFrame:
     """q-values within each family; nulls stay, equal p-values get equal q-values. A family holds one row per test, not per case."""
     ok = F.col(p).isNotNull()

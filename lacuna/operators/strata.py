@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -85,8 +85,11 @@ def fit(df: DataFrame, axes: list[str], fallback: tuple[str, str], pairs: list[t
     return Axes(x, y, tx, ty, corr, n)
 
 
-def as_row(axes: Axes) -> dict:
-    return asdict(axes)
+def fit_and_stratify(df: DataFrame, axes: list[str], fallback: tuple[str, str], assign_fn=None, **options) -> DataFrame:
+    """Fit, then the stratum of each case; assign_fn(df, axes) may give its own column in place of the quadrants."""
+    found = fit(df, axes, fallback, **options)
+    out = found.transform(df)
+    return out if assign_fn is None else out.withColumn("stratum", assign_fn(df, found))
 
 
 def same_metric_pairs(columns: list[str], variables: list[str], metrics: list[str]) -> list[tuple[str, str]]:

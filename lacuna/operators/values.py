@@ -26,6 +26,16 @@ def describe(p: Panel) -> DataFrame:
     return base.join(q, "variable", "left").select("variable", "count", "null_count", "mean", "std", "min", "p05", "p25", "p50", "p75", "p95", "max")
 
 
+def histogram(p: Panel, bins: int = 20) -> DataFrame:
+    """variable, bin (from 0), low, high, n: bins of equal width between the variable's extremes; empty bins give no row, a constant variable one of no width."""
+    long = p.long(p.numeric()).where("value is not null and not isnan(value)").select("variable", "value")
+    ends = long.groupBy("variable").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
+    width = (F.col("_b") - F.col("_a")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_a")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(F.lit(0)).cast("bigint")
+    n = long.join(ends, "variable").groupBy("variable", "_a", "_b", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("variable", "bin", (F.col("_a") + F.col("bin") * width).alias("low"), (F.col("_a") + (F.col("bin") + 1) * width).alias("high"), "n")
+
+
 def _mirrored(own: DataFrame, value: str) -> DataFrame:
     return own.unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"), *[c for c in own.columns if c not in ("x", "y")]))
 

@@ -389,6 +389,35 @@ def oracle_sql() -> dict[str, str]:
     out["bh_qvalues"] = _sql(
         f"SELECT id, variable, {r('p', 'p_value')}, {r('least(1, min(p * m / rn) OVER (PARTITION BY variable ORDER BY p DESC, rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 'q_value')} FROM (SELECT *, count(*) OVER (PARTITION BY variable) AS m, max(r0) OVER (PARTITION BY variable, p) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY p) AS r0 FROM t))",
         "t AS (SELECT id, variable, sum(mask) / count(*) AS p FROM long WHERE variable IN ('hr', 'bp') GROUP BY id, variable)")
+    half = "list_transform([{'x': abs(t), 'v': df}], lambda s: 2 * (0.5 - exp(lgamma((s.v + 1) / 2) - lgamma(s.v / 2)) / sqrt(s.v * pi()) * s.x / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (s.x * i / 2000) * (s.x * i / 2000) / s.v, -(s.v + 1) / 2)))))[1]"
+    tt = "tt AS (SELECT *, d / se AS t FROM (SELECT *, m1 - m2 AS d, CASE WHEN eq THEN n1 + n2 - 2 ELSE pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) END AS df, CASE WHEN eq THEN sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) ELSE sqrt(v1 / n1 + v2 / n2) END AS se, CASE WHEN eq THEN sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) ELSE sqrt((v1 + v2) / 2) END AS sd FROM (SELECT *, abs(sqrt(v1) - sqrt(v2)) <= 1e-8 + 1e-5 * sqrt(v2) AS eq FROM (SELECT variable, count(v) FILTER (WHERE first) AS n1, count(v) FILTER (WHERE NOT first) AS n2, avg(v) FILTER (WHERE first) AS m1, avg(v) FILTER (WHERE NOT first) AS m2, var_samp(v) FILTER (WHERE first) AS v1, var_samp(v) FILTER (WHERE NOT first) AS v2 FROM f GROUP BY variable))))"
+    out["t_test"] = _sql(f"SELECT variable, n1, n2, {r('d', 'mean_difference')}, {r('t', 't')}, {r('df', 'df')}, {r(half, 'p_value')}, {r('d / sd', 'cohens_d')} FROM tt", _FIRST, tt)
+    out["brown_forsythe"] = _sql(
+        f"SELECT variable, 2 AS k, n, {r('w', 'w')}, {r(half.replace('abs(t)', 'sqrt(w)').replace(': df', ': n - 2'), 'p_value')} FROM (SELECT variable, CAST(sum(c) AS BIGINT) AS n, (sum(c) - 2) * (sum(c * m * m) - sum(c * m) * sum(c * m) / sum(c)) / sum(c * va) AS w FROM bz GROUP BY variable)",
+        _FIRST, "bz AS (SELECT variable, first, CAST(count(*) AS DOUBLE) AS c, avg(z) AS m, var_pop(z) AS va FROM (SELECT variable, first, abs(v - median(v) OVER (PARTITION BY variable, first)) AS z FROM f WHERE v IS NOT NULL) GROUP BY ALL)")
+    pz = erfc("abs(z) / sqrt(2.0)")
+    out["dunn_gap_returns"] = _sql(
+        f"SELECT variable, group_a, group_b, {r('z', 'z')}, {r('max(least(1, (m - o + 1) * p)) OVER (PARTITION BY variable ORDER BY o)', 'p_value')} FROM (SELECT *, count(*) OVER (PARTITION BY variable) AS m, row_number() OVER (PARTITION BY variable ORDER BY p, group_a, group_b) AS o FROM (SELECT *, least(1, {pz}) AS p FROM dz))",
+        _RUNS, "c AS (SELECT variable, list_sort(list_distinct([" + ", ".join(near("time_length", i / 8) for i in range(1, 8)) + "])) AS cuts FROM runs WHERE time_length IS NOT NULL GROUP BY variable)",
+        "f AS (SELECT r.variable, CAST(len(list_filter(cuts, lambda x: x < r.time_length)) AS BIGINT) AS g, return_value AS v FROM runs r JOIN c USING (variable) WHERE time_length IS NOT NULL AND return_value IS NOT NULL)", _U.format(k="variable", s="f"), _TIES,
+        "pg AS (SELECT variable, g, avg(rnk) AS mr, count(*) AS m FROM rk GROUP BY ALL)", "nn AS (SELECT variable, CAST(count(*) AS DOUBLE) AS n FROM rk GROUP BY variable)",
+        "dz AS (SELECT a.variable, a.g AS group_a, b.g AS group_b, (a.mr - b.mr) / sqrt((n * (n + 1) / 12 - tt / (12 * (n - 1))) * (1.0 / a.m + 1.0 / b.m)) AS z FROM pg a JOIN pg b ON a.variable = b.variable AND a.g < b.g JOIN nn ON nn.variable = a.variable JOIN ties ON ties.variable = a.variable)")
+    out["histogram"] = _sql(f"SELECT variable, bin, {r('a + bin * w', 'low')}, {r('a + (bin + 1) * w', 'high')}, count(*) AS n FROM (SELECT variable, a, w, CAST(least(floor((value - a) / w), 19) AS BIGINT) AS bin FROM (SELECT variable, value, min(value) OVER v AS a, (max(value) OVER v - min(value) OVER v) / 20 AS w FROM long WHERE value IS NOT NULL WINDOW v AS (PARTITION BY variable))) GROUP BY ALL")
+    sc = "s AS (SELECT id % 3 AS part, bp_mask AS y, floor(k3 % 20) / 20.0 AS s FROM p WHERE k3 IS NOT NULL)"
+    out["scores"] = _sql(
+        f"SELECT a.part, n, CAST(np AS BIGINT) AS n_positive, {r('wins / (np * (n - np))', 'auroc')}, {r('ap / np', 'auprc')}, {r('brier', 'brier')} FROM (SELECT part, count(*) AS n, sum(y) AS np, avg((s - y) * (s - y)) AS brier FROM s GROUP BY part) a JOIN (SELECT x.part, CAST(sum(CASE WHEN x.s > z.s THEN 1 WHEN x.s = z.s THEN 0.5 ELSE 0 END) AS DOUBLE) AS wins FROM s x JOIN s z ON x.part = z.part AND x.y = 1 AND z.y = 0 GROUP BY x.part) b ON a.part = b.part "
+        "JOIN (SELECT part, sum(y * pr) AS ap FROM (SELECT part, y, CAST(sum(y) OVER w AS DOUBLE) / count(*) OVER w AS pr FROM s WINDOW w AS (PARTITION BY part ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY part) c ON a.part = c.part", sc)
+    out["calibration"] = _sql(f"SELECT CAST(least(floor(s * 10), 9) AS BIGINT) AS bin, count(*) AS n, {r('avg(s)', 'mean_score')}, {r('avg(y)', 'rate')} FROM s GROUP BY bin", sc)
+    out["fold_strata"] = _sql(
+        f"SELECT id, id % 5 AS fold, CASE WHEN avg_indicated_pct <= tx AND breadth <= ty THEN 'Q_alpha' WHEN avg_indicated_pct > tx AND breadth <= ty THEN 'Q_beta' WHEN avg_indicated_pct <= tx THEN 'Q_gamma' ELSE 'Q_delta' END AS stratum, {r('tx', 'threshold_x')}, {r('ty', 'threshold_y')} FROM case_inter JOIN th ON id % 5 = test",
+        _CASE_INTER, "th AS (SELECT test, median(avg_indicated_pct) AS tx, median(breadth) AS ty FROM case_inter, (SELECT unnest(range(0, 5)) AS test) WHERE id % 5 <> test GROUP BY test)")
+    out["common_ids"] = _sql(" INTERSECT ".join(f"SELECT id FROM p WHERE event_type = '{e}'" for e in ("signup", "purchase", "error")))
+    out["returns_within"] = _sql("SELECT a.id, a.s AS start, a.e AS end, EXISTS (SELECT 1 FROM st b WHERE b.id = a.id AND b.s >= a.e AND b.s <= a.e + INTERVAL 2 DAY) AS returned FROM st a", "st AS (SELECT id, clock AS s, clock + INTERVAL 6 HOUR AS e FROM p WHERE event_type = 'purchase')")
+    fill = lambda c: f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+    out["upsample"] = _sql(
+        f"SELECT id, step, {r(fill('hr'), 'hr')}, {r(fill('bp'), 'bp')} FROM gr LEFT JOIN bi USING (id, step)",
+        "bi AS (SELECT id, epoch_us(clock) // 21600000000 AS step, arg_max(hr, clock) FILTER (WHERE hr IS NOT NULL) AS hr, arg_max(bp, clock) FILTER (WHERE bp IS NOT NULL) AS bp FROM p GROUP BY ALL)", "gr AS (SELECT id, unnest(range(min(step), max(step) + 1)) AS step FROM bi GROUP BY id)")
+    out["stratum_distribution"] = _sql(f"SELECT label, stratum, n, {r('n / sum(n) OVER (PARTITION BY label)', 'share')} FROM (SELECT id % 4 AS label, stratum, count(*) AS n FROM st GROUP BY ALL)", _CASE_INTER, "st AS (SELECT id, CASE WHEN avg_indicated_pct = 0 THEN 'Q_complete' WHEN avg_indicated_pct <= 30 AND breadth <= 0.9 THEN 'Q_alpha' WHEN avg_indicated_pct > 30 AND breadth <= 0.9 THEN 'Q_beta' WHEN avg_indicated_pct <= 30 THEN 'Q_gamma' ELSE 'Q_delta' END AS stratum FROM case_inter)")
     out["describe_df"] = _sql(_describe("long", "value", "variable", _P5))
     out["corr_pairwise_spearman"] = _sql(f"SELECT x, y, n, {r('correlation', 'correlation')} FROM sp UNION ALL SELECT y, x, n, {r('correlation', 'correlation')} FROM sp", _pairs("p", COLS), _spearman("pairs", "x, y"))
     out["corr_listwise_pearson"] = _sql(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, {r(corr(a, b), 'correlation')} FROM p WHERE {_S} = 0" for a, b in permutations(COLS, 2)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.operators import comparisons as C
-from lacuna.operators import features, gaps, groups, masks, neighbours, rows, strata, timeline, values
+from lacuna.operators import cohorts, evaluation, features, gaps, groups, masks, neighbours, rows, strata, timeline, values
 from lacuna.operators import intervals as I
 from lacuna.operators.panel import Panel
 from lacuna.sources.store import stored
@@ -113,6 +113,21 @@ def _bh(p: Panel) -> DataFrame:
     return C.benjamini_hochberg(t, "p_value", ["variable"])
 
 
+def _scored(p: Panel) -> DataFrame:
+    """A label (the second variable is missing) and a score between 0 and 1 from the first, with many ties."""
+    return p.df.select(p.masks()[1].alias("label"), (F.floor(F.col("k3") % 20) / 20).alias("score"), (F.col("id") % 3).alias("part"))
+
+
+def _fold_strata(p: Panel) -> DataFrame:
+    m = evaluation.folds(rows.case_metrics(p), "id", 5, F.col("id") % 5)
+    return evaluation.train_only_strata(m, "avg_indicated_pct", "breadth").select("id", "fold", "stratum", "threshold_x", "threshold_y")
+
+
+def _stays(p: Panel) -> DataFrame:
+    """Purchases as stays of six hours."""
+    return p.df.where("event_type = 'purchase'").select("id", F.col("clock").alias("start"), (F.col("clock") + F.expr("INTERVAL 6 HOURS")).alias("end"))
+
+
 def _events(p: Panel) -> DataFrame:
     return p.df.where("event_type = 'signup'").select("id", "clock")
 
@@ -191,6 +206,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cliffs_delta": _q(lambda p: C.cliffs_delta(_first(p), ["variable"], "value", "first")),
         "hodges_lehmann": _q(lambda p: C.hodges_lehmann(values.case_metrics(p).withColumn("first", F.col("id") % 2 == 0), ["variable"], "value_mean", "first")),
         "bh_qvalues": _q(_bh),
+        "t_test": _q(lambda p: C.t_test(_first(p), ["variable"], "value", "first").select("variable", "n1", "n2", "mean_difference", "t", "df", "p_value", "cohens_d")),
+        "brown_forsythe": _q(lambda p: C.brown_forsythe(_first(p), ["variable"], "value", "first")),
+        "dunn_gap_returns": _q(lambda p: C.dunn(gaps.return_bins(gaps.runs(p)), ["variable"], "return_value", "bin")),
+        "histogram": _q(values.histogram),
+        "scores": _q(lambda p: evaluation.scores(_scored(p), ["part"], "label", "score")),
+        "calibration": _q(lambda p: evaluation.calibration(_scored(p), "label", "score")),
+        "fold_strata": _q(_fold_strata),
+        "common_ids": _q(lambda p: cohorts.common_ids([p.df.where(F.col("event_type") == e) for e in ("signup", "purchase", "error")], "id")),
+        "returns_within": _q(lambda p: cohorts.returns_within(_stays(p), "id", "start", "end", 2 * 86400)),
+        "upsample": _q(lambda p: cohorts.upsample(p.df, "id", "clock", ["hr", "bp"], 6 * 3600)),
+        "stratum_distribution": _q(lambda p: groups.stratum_distribution(_strata(p).withColumn("label", F.col("id") % 4), "label")),
         "describe_df": _q(values.describe),
         "corr_pairwise_spearman": _q(values.correlation_pairwise),
         "corr_listwise_pearson": _q(values.correlation_listwise),

@@ -13,6 +13,11 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.limit(rows) if rows else df
 
 
+def read_matching(spark: SparkSession, path: str, ids: DataFrame, id_col: str, columns: list[str] | None = None) -> DataFrame:
+    """The rows of a parquet table whose id is in `ids`: a semi join, whose side Spark broadcasts if it is small enough."""
+    return read_parquet(spark, path, columns).join(ids.select(id_col), id_col, "left_semi")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, timestamp_format: str | None = None, timestamps: list[str] = ()) -> DataFrame:
     """With a header and a stated schema; .gz is read too. Columns in `timestamps` are parsed leniently: what does not parse is null."""
     df = spark.read.csv(path, header=True, schema=schema)
