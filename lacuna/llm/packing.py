@@ -31,7 +31,7 @@ from lacuna.llm.common import cut
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Words of a generation that a worker keeps with their ids (two generations of whole words, and two of half as many parts), and the length up to which it keeps one.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 
 
