@@ -113,11 +113,12 @@ def linked(fps: np.ndarray, flipped: np.ndarray, prefix: int, radius: int) -> tu
                 keys.append((((v >> index_bits) << index_bits) | idx).ravel())
         keys = np.sort(np.concatenate(keys))
         idx = (keys & ((np.uint64(1) << index_bits) - np.uint64(1))).astype(np.int64)
-        same = (keys[1:] >> index_bits) == (keys[:-1] >> index_bits)
+        hashed = keys >> index_bits
+        same = hashed[1:] == hashed[:-1]
         x, y = idx[:-1][same], idx[1:][same]
         near = np.bitwise_count(fps[x] ^ fps[y]) <= radius
-        for group in np.unique((keys[1:] >> index_bits)[same][~near]):  # unequal variants with one hash break a chain: compare its members
-            own = np.unique(idx[np.searchsorted(keys >> index_bits, group) : np.searchsorted(keys >> index_bits, group, side="right")])
+        for group in np.unique(hashed[1:][same][~near]):  # unequal variants with one hash break a chain: compare its members
+            own = np.unique(idx[np.searchsorted(hashed, group) : np.searchsorted(hashed, group, side="right")])
             for i in own:
                 to = own[(own > i) & (np.bitwise_count(fps[own] ^ fps[i]) <= radius)]
                 a, b = np.concatenate([a, np.full(len(to), i)]), np.concatenate([b, to])
