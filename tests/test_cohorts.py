@@ -97,3 +97,16 @@ def test_histogram_and_own_strata(spark):
     out = strata.fit_and_stratify(df, ["a", "b"], ("a", "b"), lambda d, axes: F.when(F.col(axes.x) > axes.x_threshold, "up").otherwise("down"))
     assert {r["stratum"] for r in out.collect()} == {"up", "down"}
     assert {r["stratum"] for r in strata.fit_and_stratify(df, ["a", "b"], ("a", "b")).collect()} <= {strata.ALPHA, strata.BETA, strata.GAMMA, strata.DELTA}
+
+
+def test_scratch_deletes_what_is_written_inside(spark, tmp_path):
+    from lacuna.sources.store import cut, scratch, stored
+
+    kept, at = cut(spark.range(3), "outside")
+    with scratch(spark):
+        _, gone = cut(spark.range(3), "inside")
+        assert stored(spark.range(5), "inside").count() == 5
+    assert kept.count() == 3
+    from pathlib import Path
+
+    assert Path(at.removeprefix("file://")).exists() and not Path(gone.removeprefix("file://")).exists()
