@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources.store import cut, drop_table, scratch, shared_dir  # noqa: F401  for the operators
+
 #: Missing ids sort after all others.
 LAST_ID = 2**63 - 1
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,30 +23,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and Spark runs locally, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as a table in the shared folder and reads it back: what follows does not depend on df's lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 KEYS = ["_k1", "_k2", "_k3"]
 
 

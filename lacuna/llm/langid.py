@@ -130,7 +130,8 @@ def train(texts: list[tuple[str, str]]) -> Models:
     n_lang, unseen = len(languages), float(np.log(1e-6))
     out = Models(languages, [], [], [], unseen)
     for k in range(1, ORDER + 1):
-        every = np.unique(np.concatenate([g[0] for g in grams[k - 1]]))
+        # with the contexts of the next order: those that end in a begin mark are predicted by no n-gram but have a weight
+        every = np.unique(np.concatenate([g[0] for g in grams[k - 1]] + ([g[1] for g in grams[k]] if k < ORDER else [])))
         logs, backs = np.full((len(every), n_lang), np.nan), np.zeros((len(every), n_lang))
         for key, context, suffix, number, count in grams[k - 1]:
             n1, n2 = (count == 1).sum(), (count == 2).sum()

@@ -132,6 +132,56 @@ def test_character_models_are_distributions():
     assert models.word_scores(["ab"])[0, 0] > models.word_scores(["ab"])[0, 1]
 
 
+def _kneser_ney(texts):
+    """(word) -> log probability, from dictionaries, straight from the definition."""
+    counts = Counter(w for t in texts for w in langid.words_of(t))
+    marked = lambda w: "^" * langid.ORDER + w + "$"
+    grams = {langid.ORDER: Counter()}
+    for w, c in counts.items():
+        line = marked(w)
+        for i in range(langid.ORDER, len(line)):
+            grams[langid.ORDER][line[i - langid.ORDER + 1 : i + 1]] += c
+    for k in range(langid.ORDER - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in {marked(w)[i - k : i + 1] for w in counts for i in range(langid.ORDER, len(marked(w)))})
+    discount, total, kinds = {}, {}, {}
+    for k, g in grams.items():
+        n1, n2 = (sum(v == x for v in g.values()) for x in (1, 2))
+        discount[k] = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+        for x, v in g.items():
+            total[k, x[:-1]] = total.get((k, x[:-1]), 0) + v
+            kinds[k, x[:-1]] = kinds.get((k, x[:-1]), 0) + 1
+
+    def p(k, g):
+        if k == 0:
+            return 1e-6
+        if (k, g[:-1]) not in total:
+            return p(k - 1, g[1:])
+        weight = discount[k] * kinds[k, g[:-1]] / total[k, g[:-1]]
+        if k == 1 and g not in grams[1]:
+            return 1e-6
+        return max(grams[k].get(g, 0) - discount[k], 0) / total[k, g[:-1]] * (g in grams[k]) + weight * p(k - 1, g[1:])
+
+    def word(w):
+        line = marked(w)
+        return sum(np.log(p(langid.ORDER, line[i - langid.ORDER + 1 : i + 1])) for i in range(langid.ORDER, len(line)))
+
+    return word, lambda before, c: p(langid.ORDER, (before + c)[-langid.ORDER :])
+
+
+def test_character_models_match_kneser_ney_by_definition():
+    texts = [("a", "abab abba ba aab bab abc abcab"), ("a", "b ab ab c"), ("b", "cdc ddc cd dcd cddc ccd"), ("b", LANGS["xc"])]
+    models = langid.train(texts)
+    words = [x + y + z for x in "abcdz" for y in "abcd" for z in ("", "a", "d", "zz")] + LANGS["xb"].split() + LANGS["xc"].split()
+    got = models.word_scores(words)
+    for k, language in enumerate(models.languages):
+        word, one = _kneser_ney([t for x, t in texts if x == language])
+        assert np.allclose(got[:, k], [word(w) for w in words], atol=1e-9)
+        seen = {c for x, t in texts if x == language for c in t if c.isalpha()}
+        for before in ("^^^^", "^^^a", "^^^c", "^^ab", "abab", "^^cd"):
+            assert sum(one(before, c) for c in seen | {"$"}) < 1 + 1e-9
+    assert got[:, -1].tolist() == [len(w) + 1 for w in words]
+
+
 def test_language_id_without_anything_to_learn(make_docs):
     docs = make_docs([(1, "abc", None)])
     assert langid.fit(docs) is None
@@ -275,3 +325,17 @@ def test_html_of_repeated_and_very_long_pages(spark):
     pages = spark.createDataFrame([(1, "u", long), (2, "u", "<p>x y</p>"), (2, "u", "<p>x y</p>")], "page_id long, url string, html string")
     got = Counter((r["page_id"], r["n_chars"]) for r in html.extract_pages(pages, html.fit_costs(pages)).collect())
     assert got == Counter({(1, 60_000 * 21 - 2): 1, (2, 3): 2})
+
+
+def test_pipeline_of_nothing_and_of_rows_without_ids(spark, tmp_path):
+    schema, no_items = "doc_id long, text string, lang string, source string, n_chars long, fp string", spark.createDataFrame([], "item_id long, text string")
+    rows = [(i, t, lang, "s", len(t), None) for i, t, lang in _lang_rows()[:60]] + [(None, None, "xa", None, None, "x"), (61, "", None, None, 0, "x")]
+    one, two = "the fox jumps over the lazy dog " * 9 + "quick", "and the dog runs away from it brown fox " * 7
+    rows += [(None, one, None, None, None, "y"), (None, one, None, None, None, "y"), (None, two, None, None, None, "z"), (0, two, None, None, None, "z"), (70, "lorem ipsum dolor sit amet " * 3000, None, None, None, None)]
+    for name, own in (("none", []), ("some", rows)):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        no_items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect() if r["start"] == 0)
+    assert got[None] == 1 and got[61] == 0 and got[70] == 1  # `one`, once; `two` went to the row with an id
+    assert got[0] == 2  # two texts under one id
