@@ -3,6 +3,11 @@
 Language ID drops what it rejects; SimHash keeps one document, that of the smallest doc_id, of each group of near-duplicates; decontamination drops
 documents that hold a benchmark passage; the secret scan replaces secrets by their kind; packing assigns every
 token piece a sequence and an offset. All stages but the last return the columns of documents.
+
+Cases: null texts and texts without a letter go with the first stage (they have no language); an empty table, and one of which a stage keeps
+nothing, give no rows; of repeated rows the SimHash stage keeps one; rows without an id are told apart by their text and stay unless
+their group holds a smaller key (ids first); different texts under one id are judged each for itself; very long texts are read whole, and extra
+columns, whatever their names, travel along up to the last stage. Intermediate tables are deleted after each stage.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import automaton, decontam, langid, packing, simhash
-from lacuna.llm.common import drop_table, fresh, row_key, shared_dir
+from lacuna.llm.common import drop_table, fresh, row_key, scratch, shared_dir
 from lacuna.llm.queries import tokenizer_path
 
 
@@ -60,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{shared_dir(spark)}/lacuna-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
         if last:
             drop_table(spark, last)
