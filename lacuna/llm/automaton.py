@@ -13,6 +13,8 @@ alike; an empty table gives no rows; extra columns are ignored; texts of any len
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -292,16 +294,17 @@ class Scanner:
         self.firsts = [[head.moves[0][b] >= 0 or (bool(head.ends[0]) and tail.moves[0][b] >= 0) for b in range(256)] for head, tail in self.parts]
         self.own_bytes = [[any(row[b] >= 0 for a in both for row in a.moves) for b in range(256)] for both in self.parts]
 
-    def ends(self, data: bytes) -> list[tuple[int, int]]:
-        """(place of a last byte, bit set of the rules that end a match there): one pass over the bytes."""
-        row, out = self.start, []
+    def ends(self, data: bytes) -> tuple[array, array]:
+        """Places of last bytes of matches, and the bit sets of the rules that end there: one pass over the bytes."""
+        row, places, rules = self.start, array("q"), array("q")
         for i, b in enumerate(data):
             row = row[b]
             if row[256]:
-                out.append((i, row[256]))
-        return out
+                places.append(i)
+                rules.append(row[256])
+        return places, rules
 
-    def spans_of(self, k: int, data: bytes, ends: list[int]) -> list[tuple[int, int]]:
+    def spans_of(self, k: int, data: bytes, ends: Iterable[int]) -> list[tuple[int, int]]:
         """The rule's spans, from the runs of its bytes in which it ends."""
         own, out, done = self.own_bytes[k], [], 0
         for e in ends:
@@ -329,9 +332,9 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, rule, end) in code points, sorted."""
         data = text.encode("utf-8", "replace")
-        ends, out = self.ends(data), []
-        for k in range(len(self.rules) if ends else 0):
-            out += [(i, k, j) for i, j in self.spans_of(k, data, [i for i, rules in ends if rules >> k & 1])]
+        (places, rules), out = self.ends(data), []
+        for k in range(len(self.rules) if places else 0):
+            out += [(i, k, j) for i, j in self.spans_of(k, data, (i for i, r in zip(places, rules) if r >> k & 1))]
         if out and len(data) != len(text):
             out = [(len(data[:i].decode()), k, len(data[:j].decode())) for i, k, j in out]
         return sorted(out)

@@ -454,7 +454,7 @@ def test_spans_round_the_ends_are_those_of_the_whole_text():
     for _ in range(3000):
         data = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14))).encode()
         want = sorted((i, k, j) for k in range(len(scan.rules)) for i, j in scan.spans_within(k, data, 0, len(data)))
-        got = sorted((i, k, j) for k in range(len(scan.rules)) for i, j in scan.spans_of(k, data, [i for i, r in scan.ends(data) if r >> k & 1]))
+        got = sorted((i, k, j) for k in range(len(scan.rules)) for i, j in scan.spans_of(k, data, [i for i, r in zip(*scan.ends(data)) if r >> k & 1]))
         assert got == want, data
 
 
