@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.order import quantiles
 from lacuna.operators.values import pair_frame, spearman
+from lacuna.sources.store import stored
 
 COMPLETE, ALPHA, BETA, GAMMA, DELTA = "Q_complete", "Q_alpha", "Q_beta", "Q_gamma", "Q_delta"
 #: Metrics whose low values mean high imperfection.
@@ -63,12 +64,13 @@ def discriminating(df: DataFrame, axes: list[str], least: int = 3, most_at_media
     long = df.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in axes))).alias("s")).select("s.*").where("v is not null")
     med = quantiles(long, ["axis"], "v", {"m": 0.5})
     rows = long.join(F.broadcast(med), "axis").groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("v") == F.col("m")).cast("double")).alias("s")).collect()  # one row per axis
-    ok = {r["axis"] for r in rows if r["n"] >= least and r["s"] <= most_at_median}
+    ok = {r["axis"] for r in rows if r["n"] >= least and r["s"] is not None and r["s"] <= most_at_median}
     return [a for a in axes if a in ok]
 
 
 def fit(df: DataFrame, axes: list[str], fallback: tuple[str, str], pairs: list[tuple[str, str]] | None = None, only_discriminating: bool = False) -> Axes:
-    """Two small actions: the pair table and two medians."""
+    """Two small actions: the pair table and two medians, over a stored table of the axes: sums taken again in another order could move values between them."""
+    df = stored(df.select(*(F.col(c) for c in dict.fromkeys([*axes, *fallback]) if c in df.columns)), "axes")
     own = discriminating(df, axes) if only_discriminating else list(axes)
     best = axis_correlations(df, own, pairs).where("correlation is not null").limit(1).collect() if len(own) > 1 else []
     if best:
