@@ -72,3 +72,8 @@ def burstiness(x: Column, least: int = 3) -> Column:
 
 def half_even(x: Column) -> Column:
     return F.bround(x, 0)
+
+
+def each_row(structs: list[Column], fields: str) -> Column:
+    """One row per struct; none where the list is empty, as pairs of a single variable are."""
+    return F.explode(F.array(*structs) if structs else F.array().cast(f"array<struct<{fields}>>"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions import kernels as K
-from lacuna.functions.expr import ratio
+from lacuna.functions.expr import each_row, ratio
 from lacuna.functions.order import average_ranks, ordered_counts, quantiles
 from lacuna.operators.panel import Panel
 from lacuna.sources.store import stored
@@ -220,7 +220,7 @@ def chi2_pairs(p: Panel) -> DataFrame:
     for a, b in combinations(p.cols, 2):
         ma, mb = p.mask(a), p.mask(b)
         each.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), *(F.count_if((ma == i) & (mb == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1))))
-    own = p.df.agg(F.explode(F.array(*each)).alias("s")).select("s.*")
+    own = p.df.agg(each_row(each, "x string, y string, n00 bigint, n01 bigint, n10 bigint, n11 bigint").alias("s")).select("s.*")
     t = own.unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"), "n00", F.col("n10").alias("n01"), F.col("n01").alias("n10"), "n11"))
     n = (F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")).cast("double")
     chi2 = F.lit(0.0)
@@ -246,7 +246,7 @@ def rank_biserial_by_lag(p: Panel, lags: int = 10) -> DataFrame:
             continue
         seen = p.df.where(F.col(b).isNotNull()).select(F.col(b).cast("double").alias("v"), F.array(*moved).alias("s"))
         parts.append(seen.select("v", F.explode("s").alias("s")).select("s.x", F.lit(b).alias("y"), "v", "s.lag", (F.col("s.m") == 1).alias("first")))
-    rows = parts[0]
+    rows = parts[0] if parts else p.df.sparkSession.createDataFrame([], "x string, y string, v double, lag int, first boolean")
     for x in parts[1:]:
         rows = rows.unionByName(x)
     rows = rows.where("first is not null")
@@ -265,7 +265,7 @@ def asymmetric_matrix(p: Panel, lags: int = 10) -> DataFrame:
 def asymmetric_comparison(p: Panel) -> DataFrame:
     """x, y: y's values where x is imperfect against where it is not: counts, observed counts, Mann-Whitney, and both sides described (mean, sd, quartiles)."""
     each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (p.mask(a) == 1).alias("first"), F.col(b).cast("double").alias("v")) for a in p.cols for b in p.cols if a != b and p.is_numeric(b)]
-    rows = p.df.select(F.explode(F.array(*each)).alias("s")).select("s.*").where("first is not null")
+    rows = p.df.select(each_row(each, "x string, y string, first boolean, v double").alias("s")).select("s.*").where("first is not null")
     n = rows.groupBy("x", "y").agg(F.count_if("first").alias("n_imperfect"), F.count_if(F.col("first") & F.col("v").isNotNull()).alias("n_imperfect_observed"))
     sides, v = ["x", "y", "first"], F.col("v")
     told = rows.groupBy(*sides).agg(F.stddev_samp(v).alias("sd")).join(quantiles(rows, sides, "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}), sides, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions import kernels as K
+from lacuna.functions.expr import each_row
 from lacuna.functions.order import quantiles
 from lacuna.operators.comparisons import benjamini_hochberg
 from lacuna.operators.values import fisher_interval, spearman
@@ -131,7 +132,7 @@ def cross_aspect(long: DataFrame, confidence: float = 0.95) -> DataFrame:
     wide = axes.groupBy("id").pivot("axis", names).agg(F.first("value")).persist()
     each = [F.struct(F.lit(a).alias("axis_x"), F.lit(b).alias("axis_y"), F.lit(sa).alias("aspect_x"), F.lit(sb).alias("aspect_y"), F.col(f"`{a}`").alias("vx"), F.col(f"`{b}`").alias("vy")) for (a, sa), (b, sb) in combinations(known, 2)]
     keys = ["axis_x", "axis_y", "aspect_x", "aspect_y"]
-    rho = spearman(wide.select(F.explode(F.array(*each)).alias("s")).select("s.*"), keys)
+    rho = spearman(wide.select(each_row(each, "axis_x string, axis_y string, aspect_x string, aspect_y string, vx double, vy double").alias("s")).select("s.*"), keys)
     low, high = fisher_interval(F.col("correlation"), F.col("n"), K.normal_ppf(0.5 + confidence / 2))
     kind = F.when(F.col("aspect_x") == F.col("aspect_y"), "within").otherwise("cross")
     return rho.select("axis_x", "axis_y", "aspect_x", "aspect_y", kind.alias("kind"), "n", "correlation", low.alias("low"), high.alias("high")).orderBy(F.desc_nulls_last(F.abs("correlation")), "axis_x", "axis_y")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lacuna.functions.expr import ratio
+from lacuna.functions.expr import each_row, ratio
+from lacuna.functions.seasonal import stl
 from lacuna.operators.panel import Panel
 
 
@@ -51,6 +53,23 @@ def acf(df: DataFrame, id_col: str, order: list[str], x: str, lags: int = 20, ke
     return out.select(*keys, "r.lag", "r.n_pairs", (F.col("r.s") / F.nullif(F.col("_v") * F.col("r.n_pairs"), F.lit(0.0))).alias("autocorr"))
 
 
+def decomposed(found: DataFrame, keys: list[str], period: int, robust: bool = True) -> DataFrame:
+    """keys, lag, trend, seasonal, remainder of autocorrelations: one short series a key, as long as its lags. Keys with fewer than two whole periods give no row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lag")
+        if len(pdf) < 2 * period:
+            return pdf[[*keys, "lag"]].head(0).assign(trend=0.0, seasonal=0.0, remainder=0.0)
+        trend, seasonal, remainder = stl(pdf["autocorr"], period, robust=robust)
+        return pdf[[*keys, "lag"]].assign(trend=trend, seasonal=seasonal, remainder=remainder)
+
+    if period < 2:
+        raise ValueError("a period has at least 2 lags")
+    rows = found.select(*keys, "lag", "autocorr")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.groupBy(*keys).applyInPandas(run, f"{fields}, trend double, seasonal double, remainder double")
+
+
 def acf_masks(p: Panel, lags: int = 20) -> DataFrame:
     return acf(p.long(), p.id, [p.clock, p.clock_no], "mask", lags, ["variable"])
 
@@ -75,14 +94,14 @@ def lagged_cross_correlation(p: Panel, lags: int = 10) -> DataFrame:
             cells.append((a, b, k, name))
     rows = p.df.select(*(p.mask(c).cast("int").alias(f"_m_{c}") for c in p.cols), *(v.alias(n) for n, v in lagged.items()))
     each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(k).alias("lag"), _correlation(F.col(f"_m_{a}"), F.col(n)).alias("correlation")) for a, b, k, n in cells]
-    own = rows.agg(F.explode(F.array(*each)).alias("s")).select("s.*")
+    own = rows.agg(each_row(each, "x string, y string, lag int, correlation double").alias("s")).select("s.*")
     return own.unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"), (-F.col("lag")).alias("lag"), "correlation"))
 
 
 def phi_matrix(p: Panel) -> DataFrame:
     """x, y, phi for all ordered pairs, 1 on the diagonal, 0 where a mask is constant."""
     each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.coalesce(_correlation(p.mask(a).cast("int"), p.mask(b).cast("int")), F.lit(0.0)).alias("phi")) for a, b in combinations(p.cols, 2)]
-    own = p.df.agg(F.explode(F.array(*each)).alias("s")).select("s.*")
+    own = p.df.agg(each_row(each, "x string, y string, phi double").alias("s")).select("s.*")
     same = p.df.limit(1).select(F.explode(F.array(*(F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("phi")) for c in p.cols))).alias("s")).select("s.*")
     return own.unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"), "phi")).unionByName(same)
 

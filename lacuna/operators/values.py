@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.functions.expr import ratio
+from lacuna.functions.expr import each_row, ratio
 from lacuna.functions.order import average_ranks, quantiles
 from lacuna.operators.panel import Panel
 from lacuna.operators.timeline import _correlation
@@ -45,7 +45,7 @@ def correlation_listwise(p: Panel) -> DataFrame:
     cols = p.numeric()
     rows = p.df.dropna(subset=cols)
     each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.count(F.lit(1)).alias("n"), _correlation(F.col(a), F.col(b)).alias("correlation")) for a, b in combinations(cols, 2)]
-    return _mirrored(rows.agg(F.explode(F.array(*each)).alias("s")).select("s.*"), "correlation")
+    return _mirrored(rows.agg(each_row(each, "x string, y string, n bigint, correlation double").alias("s")).select("s.*"), "correlation")
 
 
 def leading(v: Column, digits: int = DIGITS) -> Column:
@@ -75,7 +75,7 @@ def spearman(pairs: DataFrame, keys: list[str], x: str = "vx", y: str = "vy") ->
 def pair_frame(df: DataFrame, cols: list[str], extra: list[str] = ()) -> DataFrame:
     """One row per row and unordered pair of columns: x, y, vx, vy."""
     each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("vx"), F.col(b).cast("double").alias("vy")) for a, b in combinations(cols, 2)]
-    return df.select(*extra, F.explode(F.array(*each)).alias("s")).select(*extra, "s.*")
+    return df.select(*extra, each_row(each, "x string, y string, vx double, vy double").alias("s")).select(*extra, "s.*")
 
 
 def correlation_pairwise(p: Panel) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import warnings
+from copy import copy
 from dataclasses import replace
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators import comparisons as C
-from lacuna.operators import gaps, groups, masks, neighbours, rows, strata, timeline, values
+from lacuna.operators import gaps, groups, masks, neighbours, resampling, rows, strata, timeline, values
 from lacuna.operators import intervals as I
 from lacuna.operators.features import FeatureGenerator
 from lacuna.operators.panel import Panel
@@ -18,6 +19,11 @@ from lacuna.sources.io import write_csv
 from lacuna.sources.store import stored
 
 
+def _with_interval(tests: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One row a variable on both sides."""
+    return tests.join(bounds.select("variable", F.col("low").alias("effect_low"), F.col("high").alias("effect_high")), "variable", "left")
+
+
 class Aspect:
     """results: name to DataFrame, built lazily; save_path writes each as CSV."""
 
@@ -38,7 +44,7 @@ class Aspect:
             try:
                 step()
             except Exception as e:  # noqa: BLE001
-                warnings.warn(f"{type(self).__name__}.{step.__name__}: {e}")
+                warnings.warn(f"{type(self).__name__}.{getattr(step, 'func', step).__name__}: {e}")
         return self
 
     def summary(self) -> DataFrame:
@@ -69,8 +75,9 @@ class Preliminary(Aspect):
             raise ValueError(f"unknown use {use!r}")
         return self._set(correlation=values.correlation_listwise(self.panel) if use == "listwise" else values.correlation_pairwise(self.panel))
 
-    def autocorrelation(self, lags: int = 20):
-        return self._set(autocorrelation=timeline.acf_values(self.panel, lags))
+    def autocorrelation(self, lags: int = 20, stl_period: int | None = None):
+        found = timeline.acf_values(self.panel, lags)
+        return self._set(autocorrelation=found, **({"autocorrelation_stl": timeline.decomposed(found, ["variable"], stl_period)} if stl_period else {}))
 
     def case_metrics(self, min_obs_spread: int = 2, min_obs_slope: int = 2, slope_time_unit: str = "hour"):
         return self._set(cm_case_metrics=values.case_metrics(self.panel, min_obs_spread, min_obs_slope, slope_time_unit))
@@ -126,21 +133,22 @@ class Intravariable(Aspect):
     def gap_statistics(self, bin_resolution_seconds: float = 60.0, adherence_tolerance: float = 0.5):
         return self._set(gs_gaps_observation_runs=self.runs, gs_gaps=gaps.true_gaps(self.runs), gs_gap_summary=gaps.describe_gaps(self.runs), gs_gap_dominant=gaps.dominant_gap(self.runs, bin_resolution_seconds, adherence_tolerance), gs_gap_burstiness=gaps.gap_burstiness(self.runs))
 
-    def gap_returns(self):
+    def gap_returns(self, n_bootstrap: int = 1000):
         binned = gaps.return_bins(self.runs)
-        return self._set(gr_gap_returns=gaps.gap_returns(self.runs, self.panel.id), gr_gap_bins=gaps.return_bin_statistics(self.runs), gr_gap_kruskal=C.kruskal_wallis(binned, ["variable"], "return_value", "bin"))
+        return self._set(gr_gap_returns=gaps.gap_returns(self.runs, self.panel.id), gr_gap_bins=gaps.return_bin_statistics(self.runs), gr_gap_kruskal=_with_interval(C.kruskal_wallis(binned, ["variable"], "return_value", "bin"), resampling.eta_squared_interval(binned, ["variable"], "return_value", "bin", n_bootstrap)))
 
     def markov_chain_summary(self):
         return self._set(mc_markov_summary=timeline.markov(self.panel), mc_persistence=timeline.persistence_per_case(self.panel))
 
-    def autocorrelation(self, lags: int = 20):
-        return self._set(ac_autocorrelation=timeline.acf_masks(self.panel, lags))
+    def autocorrelation(self, lags: int = 20, stl_period: int | None = None):
+        found = timeline.acf_masks(self.panel, lags)
+        return self._set(ac_autocorrelation=found, **({"ac_autocorrelation_stl": timeline.decomposed(found, ["variable"], stl_period)} if stl_period else {}))
 
-    def windowed_significance(self, window_seconds: float = 300, window_location: str = "both"):
+    def windowed_significance(self, window_seconds: float = 300, window_location: str = "both", n_bootstrap: int = 1000):
         near = neighbours.near_flags(self.panel, window_seconds, window_location)
         each = [F.struct(F.lit(c).alias("variable"), (F.col(f"{c}_near") == 1).alias("near"), F.col(c).cast("double").alias("value")) for c in self.panel.numeric()]
         long = near.select(F.explode(F.array(*each)).alias("s")).select("s.*")
-        return self._set(ws_mwu_result=C.mann_whitney(long, ["variable"], "value", "near"))
+        return self._set(ws_mwu_result=_with_interval(C.mann_whitney(long, ["variable"], "value", "near"), resampling.rank_biserial_interval(long, ["variable"], "value", "near", n_bootstrap)))
 
     def date_time_statistics(self):
         return self._set(**{f"dt_{k}": timeline.calendar(self.panel, k) for k in ("month", "weekday", "hour")}, dt_month_hour_grid=timeline.month_hour_grid(self.panel))
@@ -218,13 +226,19 @@ class Analyzer:
         self.bare = p.validated() if validate else p
         self._mask = lambda q, by=(): masks.missingness(q) if imperfection == "missingness" else masks.plausibility(q, plausibility_method, plausibility_threshold, plausibility_scope, plausibility_missing_as, plausibility_reference_ranges, list(by))
         self.panel = masks.custom(self.bare, mask_df) if mask_df is not None else self._mask(self.bare)
-        self.alpha, self.save_path = alpha, save_path
+        self.alpha = alpha
+        self._over(self.panel, save_path)
+
+    def _over(self, panel: Panel, save_path: str | None) -> "Analyzer":
+        self.panel, self.save_path = panel, save_path
         at = lambda name: save_path and f"{save_path}/{name}"
-        self.preliminary = Preliminary(self.panel, at("preliminary"), alpha)
-        self.irregularity = Irregularity(self.panel, at("irregularity"), alpha)
-        self.intravariable = Intravariable(self.panel, at("intravariable"), alpha)
-        self.intervariable = Intervariable(self.panel, at("intervariable"), alpha)
+        self.preliminary = Preliminary(panel, at("preliminary"), self.alpha)
+        self.irregularity = Irregularity(panel, at("irregularity"), self.alpha)
+        self.intravariable = Intravariable(panel, at("intravariable"), self.alpha)
+        self.intervariable = Intervariable(panel, at("intervariable"), self.alpha)
         self.results: dict[str, DataFrame] = {}
+        self.group_results: dict[str, Analyzer] = {}
+        return self
 
     def run(self, cheap_mode: bool = False) -> "Analyzer":
         if not cheap_mode:
@@ -246,10 +260,14 @@ class Analyzer:
         }
         return {name: stored(df, f"case-{name}") for name, df in frames.items()}
 
-    def run_grouped_analysis(self, annotation_col: str, annotation_df: DataFrame | None = None, top_n_groups: int | None = None, n_bootstrap: int = 1000) -> "Analyzer":
-        """Per-case metrics of every aspect compared between groups; masks with statistical bounds are taken within each group."""
+    def run_grouped_analysis(self, annotation_col: str, annotation_df: DataFrame | None = None, top_n_groups: int | None = None, n_bootstrap: int = 1000, analysis_mode: str = "metrics", cheap_mode: bool = False) -> "Analyzer":
+        """`metrics`: per-case metrics of every aspect compared between groups; masks with statistical bounds are taken within each group. `full`: every aspect of each group on its own, under group_results by label."""
+        if analysis_mode not in ("metrics", "full"):
+            raise ValueError(f"unknown analysis_mode {analysis_mode!r}")
         df = groups.annotate(self.bare.df, self.bare.id, annotation_col, annotation_df, top_n_groups)
         cols = [c for c in self.bare.cols if c != annotation_col]
+        if analysis_mode == "full":
+            return self._each_group(replace(self.bare, df=stored(df, "annotated"), cols=cols), annotation_col, cheap_mode)
         panel = self._mask(replace(self.bare, df=df, cols=cols), (annotation_col,))
         long = groups.tidy(self._case_metrics(panel), panel.id, stored(panel.df.select(panel.id, annotation_col).distinct(), "labels"), annotation_col)
         kept = long.select("group", "id").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("group")
@@ -259,6 +277,25 @@ class Analyzer:
         self.results |= {"group_comparison_descriptives": groups.describe_groups(long), "group_comparison_results": compared, "group_comparison_posthoc": groups.posthoc(long, compared)}
         return self
 
+    def _each_group(self, bare: Panel, label: str, cheap_mode: bool) -> "Analyzer":
+        """One lazy analysis a group, largest first. The labels come to the driver, which makes a set of plans for each: state `top_n_groups` where they are many."""
+        sizes = bare.df.groupBy(label).agg(F.count_distinct(bare.id).alias("n")).orderBy(F.desc("n"), label)
+        for name in [r[0] for r in sizes.select(label).collect()]:
+            own, part = copy(self), replace(bare, df=bare.df.where(F.col(label) == F.lit(name)))
+            own.bare = part
+            own._over(self._mask(part), self.save_path and f"{self.save_path}/{name}")
+            self.group_results[str(name)] = own._run_cheaply() if cheap_mode else own.run()
+        return self
+
+    def _run_cheaply(self) -> "Analyzer":
+        """The aspects without lags and windows, with per-case metrics and strata."""
+        self.preliminary.describe_df().correlation().case_metrics()
+        a, b, c = self.intravariable, self.intervariable, self.irregularity
+        a._steps(a.column_statistics, a.gap_statistics, a.date_time_statistics, partial(a.case_metrics, stratify=True))
+        b._steps(b.row_statistics, b.mcar_test, b.mar_mnar_test, b.symmetric_correlation, partial(b.case_metrics, stratify=True))
+        c._steps(partial(c.case_metrics, stratify=True))
+        return self
+
     def cross_aspect_correlation(self, include_observed_values: bool = False, variables: list[str] | None = None, confidence_level: float = 0.95) -> "Analyzer":
         frames = self._case_metrics(self.panel)
         if not include_observed_values:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.operators import comparisons as C
-from lacuna.operators import cohorts, evaluation, features, gaps, groups, masks, neighbours, rows, strata, timeline, values
+from lacuna.operators import cohorts, evaluation, features, gaps, groups, masks, neighbours, resampling, rows, strata, timeline, values
 from lacuna.operators import intervals as I
 from lacuna.operators.panel import Panel
 from lacuna.sources.store import stored
@@ -178,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "markov_p11": _q(timeline.persistence_per_case),
         "acf_mask": _q(lambda p: timeline.acf_masks(p)),
         "acf_value": _q(lambda p: timeline.acf_values(p)),
+        "acf_decomposed": _q(lambda p: timeline.decomposed(timeline.acf_values(p), ["variable"], 5)),
         "xcorr_lagged": _q(lambda p: timeline.lagged_cross_correlation(p)),
         "phi_matrix": _q(timeline.phi_matrix),
         "chi2_pairs": _q(lambda p: C.chi2_pairs(p)),
@@ -205,6 +206,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kw_h": _q(lambda p: C.kruskal_wallis(p.long(["hr", "bp"]).withColumn("g", F.col("id") % 3), ["variable"], "value", "g")),
         "cliffs_delta": _q(lambda p: C.cliffs_delta(_first(p), ["variable"], "value", "first")),
         "hodges_lehmann": _q(lambda p: C.hodges_lehmann(values.case_metrics(p).withColumn("first", F.col("id") % 2 == 0), ["variable"], "value_mean", "first")),
+        "rank_biserial_interval": _q(lambda p: resampling.rank_biserial_interval(_first(p), ["variable"], "value", "first")),
+        "eta_squared_interval": _q(lambda p: resampling.eta_squared_interval(gaps.return_bins(gaps.runs(p)), ["variable"], "return_value", "bin")),
         "bh_qvalues": _q(_bh),
         "t_test": _q(lambda p: C.t_test(_first(p), ["variable"], "value", "first").select("variable", "n1", "n2", "mean_difference", "t", "df", "p_value", "cohens_d")),
         "brown_forsythe": _q(lambda p: C.brown_forsythe(_first(p), ["variable"], "value", "first")),
