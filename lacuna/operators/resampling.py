@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lacuna.functions.kernels import SEED
 from lacuna.functions.order import BUCKETS
+from lacuna.sources.store import stored
 
 #: Cells (draws times distinct values of a bucket) that are drawn at once.
 CELLS = 2_000_000
@@ -26,6 +27,15 @@ def _rng(*parts) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32(repr([str(p) for p in parts]).encode()))
 
 
+def _draw(rng: np.random.Generator, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each size, how often every value comes in so many draws from values that occur n times: row by row where most values are different, else a multinomial at once."""
+    if len(n) * 8 < n.sum():
+        return rng.multinomial(sizes, n / n.sum())
+    value = np.repeat(np.arange(len(n)), n)
+    row = np.repeat(np.arange(len(sizes)) * len(n), sizes)
+    return np.bincount(row + value[rng.integers(0, len(value), len(row))], minlength=len(sizes) * len(n)).reshape(len(sizes), len(n))
+
+
 def _rank_sums(left: pd.DataFrame, right: pd.DataFrame, ks: list[str], draws: int, seed: int) -> pd.DataFrame:
     """For one bucket: of each draw the rank sum of every group, counted from the bucket's start, and the tie term of all groups."""
     if left.empty:
@@ -34,7 +44,7 @@ def _rank_sums(left: pd.DataFrame, right: pd.DataFrame, ks: list[str], draws: in
     values, at = np.unique(left["_v"].to_numpy(), return_inverse=True)
     drawn = {g: np.asarray(c) for g, c in zip(right["_g"], right["_c"])}
     names = sorted(drawn)
-    own = {g: (at[(left["_g"] == g).to_numpy()], left.loc[left["_g"] == g, "n"].to_numpy(dtype=float)) for g in names}
+    own = {g: (at[(left["_g"] == g).to_numpy()], left.loc[left["_g"] == g, "n"].to_numpy()) for g in names}
     rngs = {g: _rng(seed, *key, g) for g in names}
     sums, ties, step = {g: [] for g in names}, [], max(1, CELLS // len(values))
     for start in range(0, draws, step):
@@ -43,7 +53,7 @@ def _rank_sums(left: pd.DataFrame, right: pd.DataFrame, ks: list[str], draws: in
         for g in names:
             where, n = own[g]
             c = np.zeros_like(whole)
-            c[:, where] = rngs[g].multinomial(drawn[g][start : start + size], n / n.sum())
+            c[:, where] = _draw(rngs[g], drawn[g][start : start + size], n)
             counts[g] = c
             whole += c
         middle = np.cumsum(whole, axis=1) - whole + (whole + 1) / 2
@@ -52,7 +62,7 @@ def _rank_sums(left: pd.DataFrame, right: pd.DataFrame, ks: list[str], draws: in
         t = whole.astype(float)
         ties.append((t**3 - t).sum(axis=1))
     tie = np.concatenate(ties)
-    return pd.DataFrame([[*key, g, drawn[g].tolist(), np.concatenate(sums[g]).tolist(), tie.tolist()] for g in names], columns=[*ks, "_b", "_g", "_c", "_r", "_t"])
+    return pd.DataFrame([[*key, g, drawn[g], np.concatenate(sums[g]), tie] for g in names], columns=[*ks, "_b", "_g", "_c", "_r", "_t"])
 
 
 def _interval(pdf: pd.DataFrame, statistic, confidence: float) -> tuple[float | None, float | None]:
@@ -95,7 +105,7 @@ def _bootstrap(df: DataFrame, keys: list[str], value: str, group: str, statistic
     ks = keys or ["_all"]
     df = df if keys else df.withColumn("_all", F.lit(0))
     rows = df.select(*ks, F.col(group).cast("string").alias("_g"), F.col(value).cast("double").alias("_v")).where("_g is not null and _v is not null and not isnan(_v)")
-    counts = rows.groupBy(*ks, "_g", "_v").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(rows.groupBy(*ks, "_g", "_v").agg(F.count(F.lit(1)).alias("n")), "counts")  # read for cuts, totals and draws
     cuts = counts.groupBy(*ks).agg(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 2000).alias("_cuts"))
     dealt = counts.join(cuts, ks).select(*ks, "_g", "_v", "n", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v"))).alias("_b"))
     totals = dealt.groupBy(*ks, "_g", "_b").agg(F.sum("n").alias("n"))
@@ -106,7 +116,7 @@ def _bootstrap(df: DataFrame, keys: list[str], value: str, group: str, statistic
         pdf = pdf.sort_values("_b")
         n = pdf["n"].to_numpy()
         c = _rng(seed, *pdf[[*ks, "_g"]].iloc[0]).multinomial(int(n.sum()), n / n.sum(), size=draws)
-        return pdf[[*ks, "_g", "_b"]].assign(_c=list(c.T.tolist()))
+        return pdf[[*ks, "_g", "_b"]].assign(_c=list(c.T))
 
     drawn = T.StructType([*key_fields, T.StructField("_g", T.StringType()), T.StructField("_b", T.IntegerType()), T.StructField("_c", T.ArrayType(T.LongType()))])
     per = T.StructType([*key_fields, T.StructField("_b", T.IntegerType()), T.StructField("_g", T.StringType()), T.StructField("_c", T.ArrayType(T.LongType())), T.StructField("_r", T.ArrayType(T.DoubleType())), T.StructField("_t", T.ArrayType(T.DoubleType()))])
