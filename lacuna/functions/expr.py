@@ -51,6 +51,17 @@ def nearest_quantile(x: Column, q: float) -> Column:
     return F.get(values, at)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once (products and sums with their errors, after Dekker and Knuth); very large values twice."""
+    split = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    ah, bh, p = split(a), split(b), a * b
+    al, bl = a - ah, b - bh
+    off = al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+    s = p + c
+    own = s - p
+    return F.when((F.abs(a) < 1e290) & (F.abs(c) < 1e290), s + ((p - (s - own)) + (c - own) + off)).otherwise(s)
+
+
 def sorted_sum(x: Column) -> Column:
     """Aggregate: a sum whose order, and so its rounding, does not depend on partitioning."""
     return F.aggregate(F.array_sort(F.collect_list(x)), F.lit(0.0), lambda a, b: a + b)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lacuna.functions.expr import fused
+
 BUCKETS = 256
 
 
@@ -47,5 +49,6 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         end = F.col("below") + F.col("n")
         a = F.max(F.when((F.col("below") <= lo) & (lo < end), F.col(value).cast("double")))
         b = F.max(F.when((F.col("below") <= hi) & (hi < end), F.col(value).cast("double")))
-        aggs.append((a + (b - a) * F.max(at - lo)).alias(name))
+        d = F.max(at - lo)
+        aggs.append(F.when(d == 0, a).otherwise(fused(a, 1 - d, b * d)).alias(name))  # to the last bit as the SQL has it, for limits that are made of quantiles
     return (o.groupBy(*keys) if keys else o.groupBy()).agg(*aggs)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +37,22 @@ def panel(spark: SparkSession, sf_dir: str, masked: bool = True) -> Panel:
     return masks.missingness(p) if masked else p
 
 
+def _rounded(x: Column, digits: int = 6) -> Column:
+    """As the SQL rounds: the product with the power of ten, halves away from zero. Spark's own rounds the shortest decimal, which differs near halves."""
+    y = F.abs(x) * float(10**digits)
+    whole = F.floor(F.when(y < 2.0**52, y)).cast("double")
+    up = F.when(y - whole >= 0.5, whole + 1.0).otherwise(whole) / float(10**digits)
+    up = F.when(y < 2.0**52, up).otherwise(y / float(10**digits))  # these hold no fraction
+    return F.when(x.isNull() | F.isnan(x) | (y == float("inf")), x).otherwise(F.when(x < 0, -up).otherwise(up))
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Types and rounding of the comparison: doubles to 6 digits (no negative zero), whole numbers long."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = _rounded(c.cast("double")) + F.lit(0.0)
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("long")
         out.append(c.alias(f.name))
