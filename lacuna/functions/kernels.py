@@ -8,8 +8,10 @@ import numpy as np
 
 from lacuna.functions.special import chi2_sf, f_sf, normal_cdf, normal_ppf, normal_sf, studentized_range_sf, t_ppf, t_sf
 
-#: Pairs of values that a Hodges-Lehmann estimate may look at; larger groups are sampled in proportion, with a seed.
+#: Pairs of values that `pair_budget` keeps unless told otherwise.
 MOST_PAIRS, SEED = 25_000_000, 42
+#: Differences that a selection among all pairs lists at once.
+LISTED_PAIRS = 1_000_000
 
 
 def clean(x) -> np.ndarray:
@@ -105,16 +107,68 @@ def pair_budget(x: np.ndarray, y: np.ndarray, most: int = MOST_PAIRS, seed: int
     return np.sort(rng.choice(x, n1, replace=False)), np.sort(rng.choice(y, n2, replace=False))
 
 
-def hodges_lehmann(x, y, confidence: float = 0.95, most: int = MOST_PAIRS) -> dict:
-    """Median of the pairwise differences x - y and its rank interval."""
-    x, y = pair_budget(clean(x), clean(y), most)
+def _order_bits(x: float) -> int:
+    """Doubles as whole numbers of the same order."""
+    b = int(np.array(x + 0.0).view(np.int64))
+    return b if b >= 0 else -(b & 0x7FFFFFFFFFFFFFFF)
+
+
+def _of_bits(b: int) -> float:
+    return float(np.array(abs(b), dtype=np.int64).view(np.float64)) * (1 if b >= 0 else -1)
+
+
+class Differences:
+    """All differences x - y of two sorted arrays in order, without holding them: memory grows with the distinct values."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.nx = np.unique(x, return_counts=True)
+        self.y, ny = np.unique(y, return_counts=True)
+        self.ny, self.above = ny, np.concatenate([np.cumsum(ny[::-1])[::-1], [0]])  # values of y from each place on
+        self.ends = _order_bits(float(self.x[0] - self.y[-1])) - 1, _order_bits(float(self.x[-1] - self.y[0]))
+
+    def starts(self, t: float) -> np.ndarray:
+        """For each x the first place in y whose difference is at most t, by the differences themselves as they round."""
+        at, m = np.searchsorted(self.y, self.x - t, "left"), len(self.y)
+        while True:
+            back = (at > 0) & (self.x - self.y[np.maximum(at - 1, 0)] <= t)
+            on = (at < m) & (self.x - self.y[np.minimum(at, m - 1)] > t)
+            if not (back | on).any():
+                return at
+            at = at - back + on
+
+    def ranked(self, k: int) -> float:
+        """The k-th smallest, from 0: halves the range until few enough pairs are left to list."""
+        low, high = self.ends
+        at_low, at_high = np.full(len(self.x), len(self.y)), self.starts(_of_bits(high))
+        while high - low > 1 and int((at_low - at_high).sum()) > LISTED_PAIRS:
+            mid = (low + high) // 2
+            at = self.starts(_of_bits(mid))
+            if int(self.nx @ self.above[at]) > k:
+                high, at_high = mid, at
+            else:
+                low, at_low = mid, at
+        if high - low <= 1:
+            return _of_bits(high)
+        each = at_low - at_high
+        i = np.repeat(np.arange(len(self.x)), each)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + at_high[i]
+        d, n = self.x[i] - self.y[j], self.nx[i] * self.ny[j]
+        order = np.argsort(d, kind="stable")
+        before = int(self.nx @ self.above[at_low])
+        return float(d[order][np.searchsorted(np.cumsum(n[order]), k - before, "right")])
+
+
+def hodges_lehmann(x, y, confidence: float = 0.95, most: int | None = None) -> dict:
+    """Median of all pairwise differences x - y and its rank interval; of a seeded choice of at most `most` pairs where that is given."""
+    x, y = clean(x), clean(y)
+    if most is not None:
+        x, y = pair_budget(x, y, most)
     n1, n2 = len(x), len(y)
     if not n1 or not n2:
         return {"shift": None, "low": None, "high": None}
-    d = np.sort((x[:, None] - y[None, :]).ravel())
     k = math.floor(n1 * n2 / 2 - normal_ppf(0.5 + confidence / 2) * math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
-    k = max(k, 0)
-    return {"shift": float(np.median(d)), "low": float(d[k]), "high": float(d[n1 * n2 - 1 - k])}
+    k, d, n = max(k, 0), Differences(x, y), n1 * n2
+    return {"shift": float(np.mean([d.ranked((n - 1) // 2), d.ranked(n // 2)])), "low": d.ranked(k), "high": d.ranked(n - 1 - k)}
 
 
 def kruskal(groups: list) -> dict:

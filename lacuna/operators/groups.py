@@ -70,12 +70,12 @@ def _compared(key, pdf: pd.DataFrame, n_boot: int) -> pd.DataFrame:
     row |= dict(zip(FACET, key)) | {"n_groups": len(names), "groups": ", ".join(names), "n_total": sum(sizes), "n_defined": sum(map(len, values))}
     if len(names) > 1:
         row["definedness_p_value"] = K.chi2_table([[len(v), n - len(v)] for v, n in zip(values, sizes)])["p_value"]
-    both = [x for v in values for x in v]
+    seen = [v for v in values if len(v)]  # sorted
     if len(names) < 2:
         row["skipped_reason"] = "one group"
     elif min(map(len, values)) < 3:
         row["skipped_reason"] = "fewer than 3 defined values in a group"
-    elif min(both) == max(both):
+    elif min(v[0] for v in seen) == max(v[-1] for v in seen):
         row["skipped_reason"] = "no variation"
     elif len(names) == 2:
         a, b = values

@@ -23,3 +23,22 @@ def test_whiskers_and_rounding_as_sql(spark):
     rounded = [r["x"] for r in tidy(spark.createDataFrame([(i, x) for i, x in enumerate(halves)], "i int, x double")).orderBy("i").collect()]
     want = [r[0] for r in con.execute("SELECT round(x, 6) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS x)", [halves]).fetchall()]
     assert [repr(x) for x in rounded] == [repr(x) for x in want]
+
+
+def test_hodges_lehmann_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 60):
+        for make in (rng.normal, lambda size: rng.integers(0, 4, size) / 10):
+            x, y = make(size=size), make(size=size + 2)
+            d, found = np.sort((x[:, None] - y[None, :]).ravel()), K.Differences(np.sort(x), np.sort(y))
+            K.LISTED_PAIRS, kept = 3, K.LISTED_PAIRS
+            try:
+                assert [found.ranked(k) for k in range(len(d))] == d.tolist()
+            finally:
+                K.LISTED_PAIRS = kept
+    x = np.arange(20_000) * 1.0  # 400 million pairs: all count, and no list of them is made
+    tracemalloc.start()
+    assert K.hodges_lehmann(x, x + 3)["shift"] == -3.0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
