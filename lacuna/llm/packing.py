@@ -33,6 +33,9 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 #: Words of a generation that a worker keeps with their ids (two generations of whole words, and two of half as many parts), and the length up to which it keeps one.
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
+#: Marks that end words, and the first character above those that are letters to every version of the pattern.
+MARKS = frozenset(".,;:!?")
+PLAIN = "\u0250"
 
 
 class _Unsafe(Exception):
@@ -65,6 +68,31 @@ class _Recent(dict):
         return value
 
 
+class _Words(_Recent):
+    """Words by the same. One that ends in a mark is the word before it, looked up here, and the mark; one with a line end between other characters is a word, the line end, and a word that no space precedes."""
+
+    def __init__(self, make, most: int, parts: _Recent, bare: "_Words | None" = None):
+        super().__init__(make, most)
+        self.parts, self.bare = parts, bare
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            if key[-1:] in MARKS and (own := key[:-1]).isalpha() and (own.isascii() or max(own) < PLAIN):
+                value = self[own] + self.parts[key[-1]]
+            elif key.count("\n") == 1 and not (key[0].isspace() or key[-1].isspace()) and not (key[(at := key.index("\n")) - 1].isspace() or key[at + 1].isspace()):
+                bare = self if self.bare is None else self.bare
+                value = self[key[:at]] + self.parts["\n"] + bare[key[at + 1 :]]
+            else:
+                value = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class TokenBytes:
     """Texts to little-endian 32-bit ids by a byte-level tokenizer, word by word with a bounded cache.
 
@@ -93,12 +121,14 @@ class TokenBytes:
         parts = _Recent(spell, CACHED_WORDS // 2)
 
         def after(space: str):
+            spelled_space = letters[32] if space else ""
+
             def chunk(w: str) -> bytes:
-                if w and max(w) < "\u0250":  # letters there are letters to every version of the pattern
-                    if w.isalpha():
-                        return parts[space + w]
-                    if w[:-1].isalpha() and w[-1] in ".,;:!?":
-                        return parts[space + w[:-1]] + parts[w[-1]]
+                if w.isalpha():  # kept as a word, so not as a part besides
+                    if w.isascii():
+                        return pack_ids([t.id for t in tokenize(spelled_space + w)])
+                    if max(w) < PLAIN:
+                        return spell(space + w)
                 if not w:
                     if space:
                         raise _Unsafe
@@ -109,7 +139,8 @@ class TokenBytes:
 
             return chunk
 
-        self.first, self.words, self.parts, self.words_of = _Recent(after(""), CACHED_WORDS // 2), _Recent(after(" "), CACHED_WORDS), parts, words_of
+        first = _Words(after(""), CACHED_WORDS // 2, parts)
+        self.first, self.words, self.parts, self.words_of = first, _Words(after(" "), CACHED_WORDS, parts, first), parts, words_of
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.added):

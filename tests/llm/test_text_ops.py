@@ -426,6 +426,14 @@ def test_the_word_cache_is_bounded(monkeypatch):
     assert max(len(c) + len(c.older) for c in (own.words, own.first, own.parts)) <= 10
 
 
+def test_a_word_is_kept_and_spelled_once():
+    """Not as a word and as a part besides, and not again before a mark or a line end; the ids stay the tokenizer's."""
+    own = packing.TokenBytes(queries.tokenizer_path())
+    for text in ("some words, more words.\nOther Words, words;\nmore", "a\n" * 3000 + "b", " x\n y\n\nz .\n'", "m\x1c\nn caf\u00e9.\nCaf\u00e9, \u4e00.\n\u4e00"):
+        assert own(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    assert not {" words", " more", " Words", "Other"} & own.parts.keys() and {"words", "more"} <= own.words.keys()
+
+
 def test_dominance_keeps_the_optimum_of_single_pieces():
     import random
 
