@@ -6,11 +6,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions import kernels as K
+from lacuna.functions import ranksums as R
 from lacuna.functions.expr import each_row, ratio
 from lacuna.functions.order import average_ranks, ordered_counts, quantiles
 from lacuna.operators.panel import Panel
@@ -235,25 +237,81 @@ def chi2_pairs(p: Panel) -> DataFrame:
 
 
 def rank_biserial_by_lag(p: Panel, lags: int = 10) -> DataFrame:
-    """x, y, lag, n1, n0, rank_biserial: y's observed values against x's mask `lag` observed rows earlier, for all ordered pairs."""
-    parts = []
-    for b in filter(p.is_numeric, p.cols):  # one sort for all x and lags of a y
-        moved = [
-            F.struct(F.lit(a).alias("x"), F.lit(k).alias("lag"), (F.lag(p.mask(a).cast("int"), k) if k >= 0 else F.lead(p.mask(a).cast("int"), -k)).over(p.w).alias("m"))
-            for a in p.cols if a != b for k in range(-lags, lags + 1)
-        ]
-        if not moved:
-            continue
-        seen = p.df.where(F.col(b).isNotNull()).select(F.col(b).cast("double").alias("v"), F.array(*moved).alias("s"))
-        parts.append(seen.select("v", F.explode("s").alias("s")).select("s.x", F.lit(b).alias("y"), "v", "s.lag", (F.col("s.m") == 1).alias("first")))
-    rows = parts[0] if parts else p.df.sparkSession.createDataFrame([], "x string, y string, v double, lag int, first boolean")
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
-    rows = rows.where("first is not null")
-    o = ordered_counts(rows.withColumn("_1", F.col("first").cast("bigint")), ["x", "y", "lag"], "v", ["_1"])
-    n1, n = F.sum("_1"), F.max("of")
-    u = F.sum(F.col("_1") * (F.col("below") + (F.col("n") + 1) / 2)) - n1 * (n1 + 1) / 2
-    return o.groupBy("x", "y", "lag").agg(n1.cast("bigint").alias("n1"), (n - n1).cast("bigint").alias("n0"), (2 * u / F.nullif((n1 * (n - n1)).cast("double"), F.lit(0.0)) - 1).alias("rank_biserial"))
+    """x, y, lag, n1, n0, rank_biserial: y's observed values against x's mask `lag` observed rows earlier, for all ordered pairs.
+
+    One sort by id; a row's masks at all lags travel as one code, not as a row for each lag. A task keeps 2 * `lags` rows of each y, however long an id is.
+    """
+    ys, width, spark = p.numeric(), len(p.cols), p.df.sparkSession
+    xs = {b: [a for a in p.cols if a != b] for b in ys}
+    span = list(range(-lags, lags + 1))
+    cells = (len(p.cols) - 1) * len(span)
+    schema = "x string, y string, lag int, n1 bigint, n0 bigint, rank_biserial double"
+    if not ys or not cells:
+        return spark.createDataFrame([], schema)
+    code = {a: F.when(p.mask(a).isNull(), 0).when(p.mask(a) == 1, R.ONE).otherwise(R.SEEN).cast("tinyint") for a in p.cols}
+    value = {b: F.col(b).cast("double") for b in ys}
+    found = p.df.agg(*(R.approximate_cuts(value[b]).alias(f"_c{i}") for i, b in enumerate(ys))).collect()[0]  # one row
+    cuts = [R.cut_points(x) for x in found]
+    rows = p.df.repartition(p.id).sortWithinPartitions(p.id, p.clock, p.clock_no).select(F.col(p.id).alias("_id"), *(code[a].alias(f"_m{i}") for i, a in enumerate(p.cols)), *(value[b].alias(f"_v{i}") for i, b in enumerate(ys)))
+    others = [[p.cols.index(a) for a in xs[b]] for b in ys]
+
+    def run(batches):
+        held = [_Lagged(width, o, lags) for o in others]
+        own = [R.Gathered(i, cells, cuts[i]) for i in range(len(ys))]
+        last, number = None, 0
+        for batch in batches:
+            ids = batch.column(0)
+            if not len(ids):
+                continue
+            after, before = ids.slice(1), ids.slice(0, len(ids) - 1)
+            moved = pc.or_(pc.fill_null(pc.not_equal(after, before), False), pc.xor(pc.is_null(after), pc.is_null(before))).to_numpy(zero_copy_only=False)
+            no = number + np.cumsum(np.r_[number == 0 or ids[0].as_py() != last, moved])
+            last, number = ids[-1].as_py(), int(no[-1])
+            codes = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(width)])
+            for i, h in enumerate(held):
+                v = batch.column(1 + width + i)
+                seen = v.is_valid().to_numpy(zero_copy_only=False)
+                out = own[i].add(*h.add(no[seen], v.to_numpy(zero_copy_only=False)[seen], codes[:, seen]))
+                if out:
+                    yield R.batch(out)
+        for h, g in zip(held, own):
+            out = g.add(*h.add(*h.nothing(), last=True)) + g.deal()
+            if out:
+                yield R.batch(out)
+
+    o = R.rank_sums(rows.mapInArrow(run, R.DEALT), cells)
+    names = spark.createDataFrame([(i, j, a, b, k) for i, b in enumerate(ys) for j, (a, k) in enumerate((a, k) for a in xs[b] for k in span)], "key int, cell int, x string, y string, lag int")
+    n1, n = F.col("n1"), F.col("n")
+    u = F.col("ranks") - n1 * (n1 + 1) / 2
+    return o.join(F.broadcast(names), ["key", "cell"]).select("x", "y", "lag", "n1", (n - n1).alias("n0"), (2 * u / F.nullif((n1 * (n - n1)).cast("double"), F.lit(0.0)) - 1).alias("rank_biserial"))
+
+
+class _Lagged:
+    """A stream of rows in order: each comes out with the others' codes of the rows up to `lags` before and after it within its id."""
+
+    def __init__(self, width: int, others: list[int], lags: int):
+        self.width, self.others, self.lags, self.done = width, others, lags, 0
+        self.no, self.v, self.codes = self.nothing()
+
+    def nothing(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((self.width, 0), dtype=np.int8)
+
+    def add(self, no: np.ndarray, v: np.ndarray, codes: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        no, v, codes = np.r_[self.no, no], np.r_[self.v, v], np.concatenate([self.codes, codes], axis=1)
+        lo, hi, k = self.done, len(v) if last else max(self.done, len(v) - self.lags), self.lags
+        wide, around = np.pad(no, k, constant_values=-1), np.pad(codes, ((0, 0), (k, k)))
+        packed = np.zeros((hi - lo, -(-(2 * k + 1) * len(self.others) // R.CELLS)), dtype=np.int64)
+        for j, lag in enumerate(range(-k, k + 1)):
+            at = slice(k + lo - lag, k + hi - lag)
+            same = wide[at] == no[lo:hi]
+            for i, a in enumerate(self.others):
+                chunk, shift = divmod(i * (2 * k + 1) + j, R.CELLS)
+                packed[:, chunk] |= (around[a, at] * same).astype(np.int64) << (2 * shift)
+        keep = max(0, hi - k)
+        out = v[lo:hi]
+        self.no, self.v, self.codes, self.done = no[keep:], v[keep:], codes[:, keep:], hi - keep
+        ranked = ~np.isnan(out)
+        return out[ranked], packed[ranked]
 
 
 def asymmetric_matrix(p: Panel, lags: int = 10) -> DataFrame:

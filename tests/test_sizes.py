@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 
 from lacuna.functions import kernels as K
+from lacuna.functions import ranksums as R
+from lacuna.operators import comparisons as C
 from lacuna.operators import groups
+from lacuna.operators.panel import Panel
 from lacuna.queries import tidy
 
 
@@ -42,3 +45,48 @@ def test_hodges_lehmann_of_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150_000_000
+
+
+def _panel(spark, n=400):
+    """Ids of 1 to 40 rows, masks with nulls, values with ties, nulls and a NaN."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(n):
+        id_, m = int(i**0.8), rng.integers(0, 3, 2)
+        rows.append((id_, i, [None, float(rng.integers(0, 9)), float("nan") if i == 7 else float(rng.normal())][rng.integers(0, 3)], float(rng.integers(0, 3)), *(None if x == 2 else int(x) for x in m)))
+    df = spark.createDataFrame(rows, "id long, clock long, a double, b double, a_mask int, b_mask int")
+    return rows, Panel.of(df, cols=["a", "b"])
+
+
+def _by_pairs(first, rest):
+    """Rank-biserial of all pairs."""
+    d = np.sign(np.array(first)[:, None] - np.array(rest)[None, :])
+    return d.mean() if d.size else None
+
+
+def test_lagged_ranks_without_a_row_for_each_lag(spark):
+    rows, p = _panel(spark)
+    found = C.rank_biserial_by_lag(p, 17)  # 35 cells: more than one code
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    got = {(r["x"], r["y"], r["lag"]): (r["n1"], r["n0"], r["rank_biserial"]) for r in found.collect()}
+    want = {}
+    for x, y, value, mask in (("a", "b", 3, 4), ("b", "a", 2, 5)):
+        seen = [r for r in rows if r[value] is not None]
+        for k in range(-17, 18):
+            sides = ([], [])
+            for i, r in enumerate(seen):
+                if 0 <= i - k < len(seen) and seen[i - k][0] == r[0] and seen[i - k][mask] is not None and r[value] == r[value]:
+                    sides[seen[i - k][mask]].append(r[value])
+            if sides[0] or sides[1]:
+                want[x, y, k] = (len(sides[1]), len(sides[0]), _by_pairs(sides[1], sides[0]))
+    assert got.keys() == want.keys()
+    for k, (n1, n0, r) in want.items():
+        assert got[k][:2] == (n1, n0) and (got[k][2] is None) == (r is None) and (r is None or abs(got[k][2] - r) < 1e-12), k
+
+
+def test_many_equal_values_travel_as_totals():
+    g = R.Gathered(0, 1, np.array([1.0, 2.0]))
+    v = np.r_[np.full(50_000, 1.0), np.arange(3.0), np.full(63, 2.5)]
+    rows = g.add(v, np.full((len(v), 1), R.ONE)) + g.deal()
+    assert sum(len(r[2]) for r in rows) // 8 == 2 + 63  # one of the three ties with the many
+    assert sum(np.frombuffer(r[5], dtype=np.int64)[0] for r in rows if r[5]) == 50_001
