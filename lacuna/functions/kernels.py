@@ -14,6 +14,15 @@ MOST_PAIRS, SEED = 25_000_000, 42
 LISTED_PAIRS = 1_000_000
 
 
+def logit_parts(b: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear predictors b0 x0 + b1 x1 + … and their logistic function. Added up one after another, so that equal columns of x give equal results wherever they stand."""
+    z = b[0] * x[0]
+    for own, values in zip(b[1:], x[1:]):
+        z = z + own * values
+    e = np.exp(-np.abs(z))
+    return z, np.where(z >= 0, 1.0, e) / (1 + e)
+
+
 def clean(x) -> np.ndarray:
     x = np.asarray(x, dtype=float)
     return np.sort(x[~np.isnan(x)])

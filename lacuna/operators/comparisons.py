@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -379,14 +380,15 @@ def impute(df: DataFrame, p: Panel, cols: list[str], strategy: str = "mean") ->
 
 
 def mar_mnar(p: Panel, strategy: str = "mean", standardize: bool = True, ranges: dict[str, tuple[float, float]] = NORMAL_RANGES, c: float = 1e6) -> DataFrame:
-    """Per variable a likelihood-ratio test of two logistic models of its missingness: on the others' previous values and severity, without and with its own previous value."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    out = []
-    base = severity_rows(p, ranges).withColumns({f"_y_{v}": F.col(v).isNull().cast("double") for v in p.numeric()})
-    for v in p.numeric():
-        rest = [f"{o}_lag1" for o in p.numeric() if o != v] + ["abnormal_count", "improving_count"]
+    """Per variable a likelihood-ratio test of two logistic models of its missingness: on the others' previous values and severity, without and with its own previous value.
+
+    The rows' previous values are stored once; each pass over them adds up what both models of a variable need.
+    """
+    out, names = [], p.numeric()
+    base = severity_rows(p, ranges).select(*p.keys, *(f"{v}_lag1" for v in names), "abnormal_count", "improving_count", *(F.col(v).isNull().cast("double").alias(f"_y_{v}") for v in names))
+    base = stored(base, "severity")
+    for v in names:
+        rest = [f"{o}_lag1" for o in names if o != v] + ["abnormal_count", "improving_count"]
         own = f"{v}_lag1"
         rows = impute(base.where(F.col(own).isNotNull()), p, [*rest, own], strategy)
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(f"_y_{v}").alias("y"), *(F.avg(x).alias(f"m_{x}") for x in [*rest, own]), *(F.stddev_pop(x).alias(f"s_{x}") for x in [*rest, own])).collect()[0]
@@ -396,25 +398,113 @@ def mar_mnar(p: Panel, strategy: str = "mean", standardize: bool = True, ranges:
             continue
         if standardize:
             rows = rows.withColumns({x: (F.col(x) - stats[f"m_{x}"]) / (stats[f"s_{x}"] or 1.0) for x in [*rest, own]})
-        rows = rows.select(*rest, own, F.col(f"_y_{v}").alias("label")).persist()
-        found = {}
-        for name, cols in (("mar", rest), ("mnar", [*rest, own])):
-            data = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
-            model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(data)
-            from pyspark.ml.functions import vector_to_array
-
-            scored = model.transform(data).select("label", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), vector_to_array("probability")[1])).alias("q"))
-            ll = scored.agg(F.sum(F.col("label") * F.log("q") + (1 - F.col("label")) * F.log(1 - F.col("q"))).alias("l")).collect()[0]["l"]
-            u = mann_whitney(scored.withColumn("first", F.col("label") == 1), [], "q", "first").select("rank_biserial").collect()[0][0]
-            found[name] = (ll, None if u is None else (u + 1) / 2, float(model.coefficients[-1]))
-        rows.unpersist()
-        lrt = max(0.0, 2 * (found["mnar"][0] - found["mar"][0]))
+        rows = rows.select(F.col(f"_y_{v}").alias("label"), *(F.col(x).cast("double") for x in [*rest, own]))
+        mar, mnar = logistic(rows, [len(rest), len(rest) + 1], n, y, 1 / c)
+        areas = _areas(rows, [mar[1], mnar[1]], n, y)
+        lrt = max(0.0, 2 * (mnar[0] - mar[0]))
         p_value = K.chi2_sf(lrt, 1)
-        coef = found["mnar"][2] / (stats[f"s_{own}"] or 1.0) if standardize else found["mnar"][2]
-        out.append((v, n, int(y), lrt, p_value, found["mar"][1], found["mnar"][1], coef, 1.0, "MNAR suggested" if p_value < 0.05 else "consistent with MAR"))
+        coef = float(mnar[1][-1]) / (stats[f"s_{own}"] or 1.0) if standardize else float(mnar[1][-1])
+        out.append((v, n, int(y), lrt, p_value, *areas, coef, 1.0, "MNAR suggested" if p_value < 0.05 else "consistent with MAR"))
     return p.df.sparkSession.createDataFrame(out, "variable string, n long, n_missing long, lrt double, p_value double, auc_mar double, auc_mnar double, own_lag_coefficient double, df double, decision string")
 
 
+def _columns(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Labels, and a column of ones followed by the features."""
+    own = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+    return own[0], np.stack([np.ones(len(own[0])), *own[1:]])
+
+
+def logistic(rows: DataFrame, widths: list[int], n: int, y: float, penalty: float, rounds: int = 100) -> list[tuple[float, np.ndarray]]:
+    """(log-likelihood, intercept and coefficients) of a logistic model of `label` for each width, on the first so many features: the coefficients' squares cost penalty / 2, the intercept's nothing.
+
+    Newton steps, halved where one makes it worse; a pass over the rows serves all models.
+    """
+    fits = []
+    for k in widths:
+        b = np.zeros(k + 1)
+        b[0] = np.log(y / (n - y))
+        fits.append({"at": b, "best": None, "step": None, "done": False})
+    cost = np.r_[0.0, np.full(max(widths), penalty)]
+    for _ in range(rounds):
+        found = _logistic_sums(rows, [f["at"] for f in fits])
+        for f, (ll, told, slope, bend) in zip(fits, found):
+            if f["done"]:
+                continue
+            own = cost[: len(f["at"])]
+            value = ll - (own * f["at"] ** 2).sum() / 2
+            noise = 1e-14 * n + 1e-15 * abs(ll)  # of sums in another order
+            if f["best"] is not None and not value >= f["best"][0] - noise:  # not a number either
+                f["step"] = f["step"] / 2
+                f["at"] = f["best"][2] + f["step"]
+                f["done"] = np.abs(f["step"]).max() < 1e-14
+                continue
+            f["best"] = (value, told, f["at"])
+            slope = slope - own * f["at"]
+            try:
+                f["step"] = np.linalg.solve(bend + np.diag(own), slope)
+            except np.linalg.LinAlgError:  # flat for the intercept
+                f["step"] = np.linalg.lstsq(bend + np.diag(own), slope, rcond=None)[0]
+            if slope @ f["step"] < 1e-10:  # what is left to gain, twice
+                f["done"] = True
+            else:
+                f["at"] = f["at"] + f["step"]
+        if all(f["done"] for f in fits):
+            break
+    return [(float(f["best"][1]), f["best"][2]) for f in fits]
+
+
+def _logistic_sums(rows: DataFrame, fits: list[np.ndarray]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+    """For each model its log-likelihood, the same with probabilities at least 1e-12 from 0 and 1, the slope and the negative curvature."""
+
+    def run(batches):
+        sums = [np.zeros(2 + len(b) + len(b) ** 2) for b in fits]
+        for batch in batches:
+            y, x = _columns(batch)
+            for s, b in zip(sums, fits):
+                own = x[: len(b)]
+                z, q = K.logit_parts(b, own)
+                kept = np.clip(q, 1e-12, 1 - 1e-12)
+                s[0] += (y * z - np.logaddexp(0, z)).sum()
+                s[1] += (y * np.log(kept) + (1 - y) * np.log(1 - kept)).sum()
+                s[2 : 2 + len(b)] += own @ (y - q)
+                s[2 + len(b) :] += ((own * (q * (1 - q))) @ own.T).ravel()
+        rows = [(i, j, float(v)) for i, s in enumerate(sums) for j, v in enumerate(s)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.float64()))], names=["model", "at", "v"])
+
+    out = [np.zeros(2 + len(b) + len(b) ** 2) for b in fits]
+    for r in rows.mapInArrow(run, "model int, at int, v double").groupBy("model", "at").agg(F.sum("v").alias("v")).collect():  # some dozens of rows a model
+        out[r["model"]][r["at"]] = r["v"]
+    return [(s[0], s[1], s[2 : 2 + len(b)], s[2 + len(b) :].reshape(len(b), len(b))) for s, b in zip(out, fits)]
+
+
+def _areas(rows: DataFrame, fits: list[np.ndarray], n: int, y: float) -> list[float]:
+    """The area under each model's ROC curve, by ranks of its probabilities."""
+    of = lambda b, x: np.clip(K.logit_parts(b, x)[1], 1e-12, 1 - 1e-12)
+
+    def some(batches):  # every 50th of a batch, in order: cuts may lie anywhere, as results do not depend on them
+        for batch in batches:
+            _, x = _columns(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.sort(of(b, x))[::50]) for b in fits], names=[f"q{i}" for i in range(len(fits))])
+
+    found = rows.mapInArrow(some, ", ".join(f"q{i} double" for i in range(len(fits)))).agg(*(R.approximate_cuts(F.col(f"q{i}")) for i in range(len(fits)))).collect()[0]  # one row
+    cuts = [R.cut_points(c) for c in found]
+
+    def run(batches):
+        own = [R.Gathered(i, 1, cuts[i]) for i in range(len(fits))]
+        for batch in batches:
+            label, x = _columns(batch)
+            codes = np.where(label == 1, R.ONE, R.SEEN).astype(np.int64)[:, None]
+            for g, b in zip(own, fits):
+                if out := g.add(of(b, x), codes):
+                    yield R.batch(out)
+        for g in own:
+            if out := g.deal():
+                yield R.batch(out)
+
+    ranks = {r["key"]: r["ranks"] for r in R.rank_sums(rows.mapInArrow(run, R.DEALT), 1).collect()}  # one row a model
+    return [float((ranks[i] - y * (y + 1) / 2) / (y * (n - y))) for i in range(len(fits))]
+
+
 def missing_rate_by_lag(p: Panel, c: str, parts: int = 10) -> DataFrame:
     """Deciles of the previous value (equal edges merged): n, missing rate and its normal 95 % interval within [0, 1]."""
     rows = p.df.select(F.lag(c).over(p.w).cast("double").alias("v"), F.col(c).isNull().cast("double").alias("m")).where("v is not null")

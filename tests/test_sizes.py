@@ -90,3 +90,23 @@ def test_many_equal_values_travel_as_totals():
     rows = g.add(v, np.full((len(v), 1), R.ONE)) + g.deal()
     assert sum(len(r[2]) for r in rows) // 8 == 2 + 63  # one of the three ties with the many
     assert sum(np.frombuffer(r[5], dtype=np.int64)[0] for r in rows if r[5]) == 50_001
+
+
+def test_logistic_fits_add_up_both_models_in_a_pass(spark):
+    """The slope vanishes at the fit, also where a feature parts the classes or is constant; areas are those of all pairs, ties by half."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(-2, 3, 600) / 2.0, np.zeros(600), rng.normal(size=600).round(1)])
+    label = (rng.random(600) < 1 / (1 + np.exp(0.4 - 0.8 * x[0] + 0.5 * x[2]))).astype(float)
+    for y in (label, (x[2] > 0.25).astype(float)):
+        rows = spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(y, x.T)], "label double, a double, b double, c double").repartition(5)
+        fits = C.logistic(rows, [2, 3], 600, y.sum(), 1e-6)
+        for ll, b in fits:
+            own = np.stack([np.ones(600), *x[: len(b) - 1]])
+            q = 1 / (1 + np.exp(-(b @ own)))
+            assert np.abs(own @ (y - q) - np.r_[0.0, np.full(len(b) - 1, 1e-6)] * b).max() < 1e-4
+            kept = np.clip(q, 1e-12, 1 - 1e-12)
+            assert abs(ll - (y * np.log(kept) + (1 - y) * np.log(1 - kept)).sum()) < 1e-6
+        for area, (_, b) in zip(C._areas(rows, [b for _, b in fits], 600, y.sum()), fits):
+            _, q = K.logit_parts(b, np.stack([np.ones(600), *x]))
+            q = np.clip(q, 1e-12, 1 - 1e-12)
+            assert abs(area - (_by_pairs(q[y == 1], q[y == 0]) + 1) / 2) < 1e-12
