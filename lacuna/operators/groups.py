@@ -10,10 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions import kernels as K
-from lacuna.functions.expr import each_row
 from lacuna.functions.order import quantiles
 from lacuna.operators.comparisons import benjamini_hochberg
-from lacuna.operators.values import fisher_interval, spearman
+from lacuna.operators.values import fisher_interval, rank_correlations
 
 IMPERFECTION, OBSERVED = "imperfection", "observed_values"
 FACET = ["aspect", "variable", "metric"]
@@ -124,15 +123,15 @@ def axis_names(long: DataFrame) -> DataFrame:
 def cross_aspect(long: DataFrame, confidence: float = 0.95) -> DataFrame:
     """axis_x, axis_y, aspects, kind (within or cross), n, correlation (Spearman), interval; largest absolute correlation first, undefined last.
 
-    Axes are few: each id's values form one row, and pairs are formed within it.
+    Axes are few: each id's values form one row, from which all pairs are ranked at once.
     """
     axes = axis_names(long).where("value is not null").persist()  # one row per case and axis
     known = [(r["axis"], r["aspect"]) for r in axes.select("axis", "aspect").distinct().orderBy("axis").collect()]  # one row per axis
     names = [a for a, _ in known]
-    wide = axes.groupBy("id").pivot("axis", names).agg(F.first("value")).persist()
-    each = [F.struct(F.lit(a).alias("axis_x"), F.lit(b).alias("axis_y"), F.lit(sa).alias("aspect_x"), F.lit(sb).alias("aspect_y"), F.col(f"`{a}`").alias("vx"), F.col(f"`{b}`").alias("vy")) for (a, sa), (b, sb) in combinations(known, 2)]
-    keys = ["axis_x", "axis_y", "aspect_x", "aspect_y"]
-    rho = spearman(wide.select(each_row(each, "axis_x string, axis_y string, aspect_x string, aspect_y string, vx double, vy double").alias("s")).select("s.*"), keys)
+    wide = axes.groupBy("id").pivot("axis", names).agg(F.first("value"))
+    of, schema = dict(known), "axis_x string, axis_y string, n bigint, correlation double, aspect_x string, aspect_y string"
+    rho = long.sparkSession.createDataFrame([(*x, of[x[0]], of[x[1]]) for x in rank_correlations(wide, list(combinations(names, 2)))], schema)
+    axes.unpersist()
     low, high = fisher_interval(F.col("correlation"), F.col("n"), K.normal_ppf(0.5 + confidence / 2))
     kind = F.when(F.col("aspect_x") == F.col("aspect_y"), "within").otherwise("cross")
     return rho.select("axis_x", "axis_y", "aspect_x", "aspect_y", kind.alias("kind"), "n", "correlation", low.alias("low"), high.alias("high")).orderBy(F.desc_nulls_last(F.abs("correlation")), "axis_x", "axis_y")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.order import quantiles
-from lacuna.operators.values import pair_frame, spearman
+from lacuna.operators.values import rank_correlations
 from lacuna.sources.store import stored
 
 COMPLETE, ALPHA, BETA, GAMMA, DELTA = "Q_complete", "Q_alpha", "Q_beta", "Q_gamma", "Q_delta"
@@ -50,12 +50,11 @@ def assign(x: str, y: str, x_threshold, y_threshold, complete: Column | None = N
 
 def axis_correlations(df: DataFrame, axes: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """x, y, n, correlation, abs_corr of every pair (Spearman over complete rows), least correlated first."""
-    out = spearman(pair_frame(df, axes), ["x", "y"])
+    own = list(combinations(axes, 2))
     if pairs is not None:
-        wanted = F.lit(False)
-        for a, b in pairs:
-            wanted = wanted | ((F.col("x") == a) & (F.col("y") == b)) | ((F.col("x") == b) & (F.col("y") == a))
-        out = out.where(wanted)
+        wanted = {frozenset(x) for x in pairs}
+        own = [x for x in own if frozenset(x) in wanted]
+    out = df.sparkSession.createDataFrame(rank_correlations(df, own), "x string, y string, n bigint, correlation double")
     return out.withColumn("abs_corr", F.abs("correlation")).orderBy(F.asc_nulls_last("abs_corr"), F.desc("n"), "x", "y")
 
 

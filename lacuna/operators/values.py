@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lacuna.functions.expr import each_row, ratio
 from lacuna.functions.order import average_ranks, quantiles
+from lacuna.functions.rankpairs import rank_correlations as paired_ranks
 from lacuna.operators.panel import Panel
 from lacuna.operators.timeline import _correlation
 
@@ -72,15 +73,18 @@ def spearman(pairs: DataFrame, keys: list[str], x: str = "vx", y: str = "vy") ->
     return j.groupBy(*keys).agg(n.alias("n"), F.when((n >= 3) & (vx > 1e-9) & (vy > 1e-9), cov / F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))), F.lit(0.0))).alias("correlation"))
 
 
-def pair_frame(df: DataFrame, cols: list[str], extra: list[str] = ()) -> DataFrame:
-    """One row per row and unordered pair of columns: x, y, vx, vy."""
-    each = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("vx"), F.col(b).cast("double").alias("vy")) for a, b in combinations(cols, 2)]
-    return df.select(*extra, each_row(each, "x string, y string, vx double, vy double").alias("s")).select(*extra, "s.*")
+def rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, int, float | None]]:
+    """(x, y, n, correlation) of pairs of columns with complete rows, as `spearman` has them, without a row for each pair."""
+    cols = list(dict.fromkeys(c for xy in pairs for c in xy))
+    wide = df.select(*(leading(F.col(f"`{c}`").cast("double")).alias(f"_{i}") for i, c in enumerate(cols)))
+    found = paired_ranks(wide, [(cols.index(x), cols.index(y)) for x, y in pairs])
+    return [(x, y, n, rho) for (x, y), (n, rho) in zip(pairs, found) if n]
 
 
 def correlation_pairwise(p: Panel) -> DataFrame:
     """Spearman over each pair's complete rows: x, y, n, correlation."""
-    return _mirrored(spearman(pair_frame(p.df, p.numeric()), ["x", "y"]), "correlation")
+    own = rank_correlations(p.df, list(combinations(p.numeric(), 2)))
+    return _mirrored(p.df.sparkSession.createDataFrame(own, "x string, y string, n bigint, correlation double"), "correlation")
 
 
 def case_metrics(p: Panel, least_spread: int = 2, least_slope: int = 2, unit: str = "hour") -> DataFrame:

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from lacuna.functions import kernels as K
+from lacuna.functions import rankpairs
 from lacuna.functions import ranksums as R
 from lacuna.operators import comparisons as C
-from lacuna.operators import groups
+from lacuna.operators import groups, values
 from lacuna.operators.panel import Panel
 from lacuna.queries import tidy
 
@@ -110,3 +111,44 @@ def test_logistic_fits_add_up_both_models_in_a_pass(spark):
             _, q = K.logit_parts(b, np.stack([np.ones(600), *x]))
             q = np.clip(q, 1e-12, 1 - 1e-12)
             assert abs(area - (_by_pairs(q[y == 1], q[y == 0]) + 1) / 2) < 1e-12
+
+
+@pytest.mark.parametrize("rows", [20_000, 15])
+def test_rank_correlations_of_pairs_at_once(spark, monkeypatch, rows):
+    """As ranks of the complete rows have them, with few buckets and with many, ties, a value that most rows have, a constant, nulls and a NaN."""
+    monkeypatch.setattr(rankpairs, "BUCKET_ROWS", rows)
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=700)
+    x = np.stack([a, np.where(rng.random(700) < 0.9, 1.0, a.round(1)), (a + rng.normal(size=700)).round(1), rng.integers(0, 3, 700) / 1.0, np.full(700, 4.0)])
+    gone = rng.random(x.shape) < 0.2
+    rows_ = [tuple(None if g else float("nan") if i == 9 else float(v) for v, g in zip(xs, gs)) for i, (xs, gs) in enumerate(zip(x.T, gone.T))]
+    rows_ += [(None, None, None, None, None, 1.0), (None, None, None, None, None, 2.0)]
+    df = spark.createDataFrame([r if len(r) == 6 else (*r, None) for r in rows_], "a double, b double, c double, d double, e double, f double").repartition(3)
+    names = df.columns
+    found = {(x, y): (n, r) for x, y, n, r in values.rank_correlations(df, [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]])}
+    assert not any("f" in k for k in found) and len(found) == 10  # no complete rows: no result, as before
+
+    def ranks(v):
+        _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - n + (n + 1) / 2)[at]
+
+    gone[:, 9] = True
+    for i in range(5):
+        for j in range(i + 1, 5):
+            both = ~gone[i] & ~gone[j]
+            n, r = found[names[i], names[j]]
+            assert n == both.sum()
+            if j == 4:
+                assert r is None
+            else:
+                assert abs(r - np.corrcoef(ranks(x[i][both]), ranks(x[j][both]))[0, 1]) < 1e-12
+
+
+def test_a_value_that_most_rows_have_is_dealt_nowhere(spark, monkeypatch):
+    """Its rank follows from totals, so its rows do not meet in one task."""
+    kept = []
+    monkeypatch.setattr(rankpairs, "stored", lambda df, name: kept.append(df) or df)
+    df = spark.createDataFrame([(float(i) if i % 10 == 0 else 0.5, float(i % 7)) for i in range(5000)], "a double, b double").repartition(4)
+    monkeypatch.setattr(rankpairs, "BUCKET_ROWS", 20)
+    assert rankpairs.rank_correlations(df, [(0, 1)])[0][0] == 5000
+    assert sum(len(r["a"]) // 8 for r in kept[1].where(f"side <> {rankpairs.SUMS}").collect()) <= 500
